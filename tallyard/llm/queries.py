@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyard.llm import format_copies, leaks, near_duplicates, samples, splits, token_ids
+from tallyard.llm import format_copies, leaks, near_duplicates, pairs, personal_data, samples, splits, token_ids
 from tallyard.runtime import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts whose reply is no usable answer, with the kind of defect."""
+    asked = ["item_id", "given_info", "question"]
+    items = load(spark, sf_dir, "label_free_items").select(*asked).unionByName(load(spark, sf_dir, "canary_items").select(*asked))
+    return pairs.broken_pairs(load(spark, sf_dir, "event_records"), load(spark, sf_dir, "logical_calls"), items)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that cannot be met, from the sampling operator's report."""
     made = samples.TargetSample(load(spark, sf_dir, "candidates"), load(spark, sf_dir, "sample_targets"))
@@ -67,7 +74,17 @@ def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.edited_leaks(leaks.leak_alignments(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_alignments)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in the documents."""
+    return personal_data.personal_data(load(spark, sf_dir, "documents"), load(spark, sf_dir, "name_parts"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders for personal data."""
+    return personal_data.redacted(load(spark, sf_dir, "documents"), load(spark, sf_dir, "name_parts"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
 
 ORACLES = {
     "p2_found": """
