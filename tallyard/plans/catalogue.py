@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyard.plans import audit
+from tallyard.plans import audit, runlog
 
-QUERIES: dict = {} | audit.QUERIES
-ORACLES: dict[str, str] = {} | audit.ORACLES
+QUERIES: dict = {} | audit.QUERIES | runlog.QUERIES
+ORACLES: dict[str, str] = {} | audit.ORACLES | runlog.ORACLES
