@@ -7,8 +7,9 @@ fingerprint emits, per part, all variants within half the radius: the part itsel
 its words. Such a pair meets in the middle, at the words that both hold in the part. Variants are shuffled,
 colliding pairs are deduplicated and verified on the whole multisets, so no pair at or above t is lost.
 
-Variants that very many records share are not paired: their records emit again under another, independent
-partition, so that only records agreeing in both meet; after LEVELS such steps the rest is paired in blocks.
+Groups of records that share a variant are compared by a parity sketch before any pair is made; larger groups in
+blocks, dealt over tasks. Variants that very many records share are not compared at once: their records emit again
+under another, independent partition, so that only records agreeing in both meet.
 """
 
 from __future__ import annotations
@@ -26,16 +27,21 @@ from pyspark.sql import functions as F
 from tallyard.llm.format_copies import with_copy_key
 from tallyard.runtime import cut, small_side
 
-#: Records that may share a variant before they are split further.
-GROUP_ROWS = 200
+#: Records of a group that one task compares with each other.
+GROUP_ROWS = 2000
+#: Records of a group that are compared in blocks; larger groups emit again.
+BLOCKED_ROWS = 40_000
 LEVELS = 3
 #: Records whose variants one task emits.
 TASK_BAGS = 4000
 #: Ratio of the largest to the smallest record size of one size class.
 CLASS_RATIO = 1.25
+#: Size classes at most (enough for 10^24 words); a variant's low bits hold its class.
+CLASSES = 256
 
 _ITEM = "record_id string, copy_key string, bag string, bag_id bigint, n int, tokens array<bigint>, s0 bigint, s1 bigint"
-_VARIANT = "v bigint, cls int, bag_id bigint, n int, s0 bigint, s1 bigint"
+#: v holds the variant and in its low bits the size class; m the word left out (0 for none) and the record's own class.
+_VARIANT = "v bigint, m bigint, bag_id bigint, s0 bigint, s1 bigint"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,13 +77,16 @@ class _Scheme:
 
     def __init__(self, t: Fraction, largest: int):
         self.t = t
-        low, self.lows, self.parts = 1, [], []
+        low, self.lows, self.parts, self.differ = 1, [], [], []
         while low <= largest / t + 1:
             high = max(low + 1, int(low * CLASS_RATIO))
             self.lows.append(low)
             differ = int(2 * (high - 1) * (1 - t) / (1 + t))
+            self.differ.append(differ)
             self.parts.append(differ // 2 + 1)
             low = high
+        if len(self.lows) > CLASSES:
+            raise ValueError("texts too long for the size classes")
         self.lows, self.parts = np.array(self.lows), np.array(self.parts, np.uint64)
 
     def first(self, n: np.ndarray) -> np.ndarray:
@@ -87,8 +96,8 @@ class _Scheme:
         return self.first(np.floor(n * float(1 / self.t) + 1e-9).astype(np.int64))
 
 
-def _variants(scheme: _Scheme, level: int, cls: np.ndarray, salt: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, variant) of each row's tokens under the partition of that level; salt is mixed into every variant."""
+def _variants(scheme: _Scheme, level: int, cls: np.ndarray, salt: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, variant, word left out) of each row's tokens under the partition of that level; salt is mixed into every variant."""
     sizes = np.array([len(x) for x in tokens])
     flat = np.concatenate(tokens).view(np.uint64) if len(tokens) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -104,41 +113,56 @@ def _variants(scheme: _Scheme, level: int, cls: np.ndarray, salt: np.ndarray, to
     tag = _mix(salt.view(np.uint64)[cell_row] + _mix((np.arange(total) - start[cell_row]).astype(np.uint64) * np.uint64(1 << 20) + cls.astype(np.uint64)[cell_row] + np.uint64(level << 50)))
     whole = _mix(sums + _mix(tag + counts))
     less = _mix(sums[cell] - mixed + _mix(tag[cell] + counts[cell] - np.uint64(1)))
-    return np.concatenate([cell_row, row]), np.concatenate([whole, less]).view(np.int64)
+    variants = np.concatenate([whole, less]) & ~np.uint64(CLASSES - 1)
+    rows = np.concatenate([cell_row, row])
+    gone = np.concatenate([np.zeros(total, np.uint64), mixed | np.uint64(CLASSES)])
+    return rows, (variants | cls.astype(np.uint64)[rows]).view(np.int64), gone & ~np.uint64(CLASSES - 1)
 
 
 def _emit(scheme: _Scheme, level: int):
-    """For mapInPandas: rows (bag_id, n, tokens, s0, s1) and, above level 0, (v, cls) to variants."""
+    """For mapInPandas: rows (bag_id, n, tokens, s0, s1) and, above level 0, v to variants."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 b = batch.iloc[at : at + 2000].reset_index(drop=True)
+                own = scheme.first(b["n"].to_numpy())
                 if level:
-                    cls, salt, source = b["cls"].to_numpy(), b["v"].to_numpy(), np.arange(len(b))
+                    salt, source = b["v"].to_numpy(), np.arange(len(b))
+                    cls = salt & (CLASSES - 1)
                 else:
-                    n = b["n"].to_numpy()
-                    first, last = scheme.first(n), scheme.last(n)
+                    first, last = own, scheme.last(b["n"].to_numpy())
                     source = np.repeat(np.arange(len(b)), last - first + 1)
                     cls = first[source] + np.arange(len(source)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
                     salt = np.zeros(len(source), np.int64)
                 tokens = b["tokens"].to_list()
-                row, v = _variants(scheme, level, cls, salt, [np.asarray(tokens[i]) for i in source])
+                row, v, gone = _variants(scheme, level, cls, salt, [np.asarray(tokens[i]) for i in source])
                 whose = source[row]
-                yield pd.DataFrame({"v": v, "cls": cls[row].astype(np.int32)} | {c: b[c].to_numpy()[whose] for c in ("bag_id", "n", "s0", "s1")})
+                m = (gone | own.astype(np.uint64)[whose]).view(np.int64)
+                yield pd.DataFrame({"v": v, "m": m} | {c: b[c].to_numpy()[whose] for c in ("bag_id", "s0", "s1")})
 
     return run
 
 
-def _near(t: Fraction) -> Column:
-    """Whether rows a and b can be similar, by their sizes and by the parity sketch; never false for a similar pair."""
+def _near(scheme: _Scheme) -> Column:
+    """Whether rows a and b should be paired here; true somewhere for every similar pair.
+
+    The class must be the larger record's. Rows that both lack the same word agree in the whole part and meet there
+    without it. Each word that one side lacks flips one bit of the parity sketch, so no more bits may differ than
+    the class allows words to.
+    """
+    low = F.lit(CLASSES - 1)
+    cls = F.col("a.v").bitwiseAND(low)
+    right_class = cls == F.greatest(F.col("a.m").bitwiseAND(low), F.col("b.m").bitwiseAND(low))
+    word = F.lit(-CLASSES)
+    fresh = (F.col("a.m").bitwiseAND(word) != F.col("b.m").bitwiseAND(word)) | (F.col("a.m").bitwiseAND(word) == 0)
     apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    size = (F.least("a.n", "b.n") * t.denominator) >= (F.greatest("a.n", "b.n") * t.numerator)
-    return size & (apart * (t.denominator + t.numerator) <= (F.col("a.n") + F.col("b.n")) * (t.denominator - t.numerator))
+    allowed = F.element_at(F.array(*[F.lit(d) for d in scheme.differ]), cls.cast("int") + 1)
+    return right_class & fresh & (apart <= allowed)
 
 
-def _meet(rows: DataFrame, on: list[str], t: Fraction) -> DataFrame:
-    joined = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.bag_id") < F.col("b.bag_id"), _near(t)])
+def _meet(rows: DataFrame, on: list[str], scheme: _Scheme) -> DataFrame:
+    joined = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.bag_id") < F.col("b.bag_id"), _near(scheme)])
     return joined.select(F.col("a.bag_id").alias("a"), F.col("b.bag_id").alias("b"))
 
 
@@ -153,17 +177,17 @@ def similar_bags(bags: DataFrame, similarity: str = "0.7") -> DataFrame:
     for level in range(LEVELS):
         rows = source.mapInPandas(_emit(scheme, level), _VARIANT)
         hot = cut(rows.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP_ROWS))
-        hot_count = hot.count()
-        if not hot_count:
-            found.append(_meet(rows, ["v"], t))
+        groups, largest = hot.agg(F.count("*"), F.coalesce(F.max("c"), F.lit(0))).head()
+        known = small_side(hot.select("v"), groups)
+        found.append(_meet(rows.join(known, "v", "left_anti") if groups else rows, ["v"], scheme))
+        last = level == LEVELS - 1 or largest <= BLOCKED_ROWS
+        if groups:
+            blocked = hot if last else hot.filter(F.col("c") <= BLOCKED_ROWS)
+            found.append(_meet(_blocks(rows.join(small_side(blocked, groups), "v")), ["v", "i", "j"], scheme))
+        if last:
             break
-        known = small_side(hot.select("v"), hot_count)
-        found.append(_meet(rows.join(known, "v", "left_anti"), ["v"], t))
-        left = rows.join(known, "v", "left_semi")
-        if level == LEVELS - 1:
-            found.append(_meet(_blocks(left.join(small_side(hot, hot_count), "v")), ["v", "i", "j"], t))
-        else:
-            source = left.select("v", "cls", "bag_id").join(bags, "bag_id")
+        again = rows.join(small_side(hot.filter(F.col("c") > BLOCKED_ROWS).select("v"), groups), "v", "left_semi")
+        source = again.select("v", "bag_id").join(bags, "bag_id").repartition(tasks, "v", "bag_id")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
