@@ -8,7 +8,8 @@ its words. Such a pair meets in the middle, at the words that both hold in the p
 colliding pairs are deduplicated and verified on the whole multisets, so no pair at or above t is lost.
 
 Groups of records that share a variant are compared by a parity sketch before any pair is made; larger groups in
-blocks, dealt over tasks. Variants that very many records share are not compared at once: their records emit again
+blocks, dealt over tasks. Sizes fall into classes, and a record emits for every pair of classes that its own is part of, so that the number of
+parts fits the sizes of both sides. Variants that very many records share are not compared at once: their records emit again
 under another, independent partition, so that only records agreeing in both meet.
 """
 
@@ -36,11 +37,13 @@ LEVELS = 3
 TASK_BAGS = 4000
 #: Ratio of the largest to the smallest record size of one size class.
 CLASS_RATIO = 1.25
-#: Size classes at most (enough for 10^24 words); a variant's low bits hold its class.
-CLASSES = 256
+#: Size classes at most (enough for 10^24 words), and how many classes apart two similar records may be.
+CLASSES, APART = 256, 16
+#: A variant's low bits hold its pair of classes: the larger one times APART plus their distance.
+KINDS = CLASSES * APART
 
 _ITEM = "record_id string, copy_key string, bag string, bag_id bigint, n int, tokens array<bigint>, s0 bigint, s1 bigint"
-#: v holds the variant and in its low bits the size class; m the word left out (0 for none) and the record's own class.
+#: v holds the variant and in its low bits the pair of classes; m the word left out (0 for none) and the record's own class.
 _VARIANT = "v bigint, m bigint, bag_id bigint, s0 bigint, s1 bigint"
 
 
@@ -73,35 +76,49 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Scheme:
-    """Size classes and how many parts each has, for one similarity."""
+    """Size classes, the pairs of classes that similar records can be in, and how many parts each pair needs."""
 
     def __init__(self, t: Fraction, largest: int):
-        self.t = t
-        low, self.lows, self.parts, self.differ = 1, [], [], []
-        while low <= largest / t + 1:
-            high = max(low + 1, int(low * CLASS_RATIO))
-            self.lows.append(low)
-            differ = int(2 * (high - 1) * (1 - t) / (1 + t))
-            self.differ.append(differ)
-            self.parts.append(differ // 2 + 1)
-            low = high
-        if len(self.lows) > CLASSES:
+        lows = [1]
+        while lows[-1] <= largest:
+            lows.append(max(lows[-1] + 1, int(lows[-1] * CLASS_RATIO)))
+        if len(lows) > CLASSES:
             raise ValueError("texts too long for the size classes")
-        self.lows, self.parts = np.array(self.lows), np.array(self.parts, np.uint64)
-
-    def first(self, n: np.ndarray) -> np.ndarray:
+        self.lows = np.array(lows)
+        self.highs = [x - 1 for x in lows[1:]] + [lows[-1]]
+        self.parts = np.zeros(KINDS, np.uint64)
+        of: list[list[int]] = [[] for _ in lows]
+        for hi in range(len(lows)):
+            for lo in range(hi + 1):
+                if self.highs[lo] < t * lows[hi]:
+                    continue
+                if hi - lo >= APART:
+                    raise ValueError("similarity too low for the size classes")
+                kind = hi * APART + hi - lo
+                self.parts[kind] = int((self.highs[lo] + self.highs[hi]) * (1 - t) / (1 + t)) // 2 + 1
+                for own in {lo, hi}:
+                    of[own].append(kind)
+        self.count = np.array([len(x) for x in of])
+        self.start = np.cumsum(self.count) - self.count
+        self.kinds = np.array([k for x in of for k in x])
+
+    def own(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, n, "right") - 1
 
-    def last(self, n: np.ndarray) -> np.ndarray:
-        return self.first(np.floor(n * float(1 / self.t) + 1e-9).astype(np.int64))
+    def emitted(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, kind) of every pair of classes that the rows take part in."""
+        times = self.count[own]
+        row = np.repeat(np.arange(len(own)), times)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        return row, self.kinds[self.start[own][row] + step]
 
 
-def _variants(scheme: _Scheme, level: int, cls: np.ndarray, salt: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _variants(scheme: _Scheme, level: int, kind: np.ndarray, salt: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, variant, word left out) of each row's tokens under the partition of that level; salt is mixed into every variant."""
     sizes = np.array([len(x) for x in tokens])
     flat = np.concatenate(tokens).view(np.uint64) if len(tokens) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    parts = scheme.parts[cls]
+    parts = scheme.parts[kind]
     start = np.concatenate([[0], np.cumsum(parts.astype(np.int64))])
     part = _mix(flat + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)) % parts[row]
     cell = start[row] + part.astype(np.int64)
@@ -110,13 +127,13 @@ def _variants(scheme: _Scheme, level: int, cls: np.ndarray, salt: np.ndarray, to
     mixed = _mix(flat + np.uint64(7))
     np.add.at(sums, cell, mixed)
     cell_row = np.repeat(np.arange(len(sizes)), parts.astype(np.int64))
-    tag = _mix(salt.view(np.uint64)[cell_row] + _mix((np.arange(total) - start[cell_row]).astype(np.uint64) * np.uint64(1 << 20) + cls.astype(np.uint64)[cell_row] + np.uint64(level << 50)))
+    tag = _mix(salt.view(np.uint64)[cell_row] + _mix((np.arange(total) - start[cell_row]).astype(np.uint64) * np.uint64(1 << 20) + kind.astype(np.uint64)[cell_row] + np.uint64(level << 50)))
     whole = _mix(sums + _mix(tag + counts))
     less = _mix(sums[cell] - mixed + _mix(tag[cell] + counts[cell] - np.uint64(1)))
-    variants = np.concatenate([whole, less]) & ~np.uint64(CLASSES - 1)
+    variants = np.concatenate([whole, less]) & ~np.uint64(KINDS - 1)
     rows = np.concatenate([cell_row, row])
-    gone = np.concatenate([np.zeros(total, np.uint64), mixed | np.uint64(CLASSES)])
-    return rows, (variants | cls.astype(np.uint64)[rows]).view(np.int64), gone & ~np.uint64(CLASSES - 1)
+    gone = np.concatenate([np.zeros(total, np.uint64), mixed | np.uint64(KINDS)])
+    return rows, (variants | kind.astype(np.uint64)[rows]).view(np.int64), gone & ~np.uint64(KINDS - 1)
 
 
 def _emit(scheme: _Scheme, level: int):
@@ -126,17 +143,15 @@ def _emit(scheme: _Scheme, level: int):
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 b = batch.iloc[at : at + 2000].reset_index(drop=True)
-                own = scheme.first(b["n"].to_numpy())
+                own = scheme.own(b["n"].to_numpy())
                 if level:
                     salt, source = b["v"].to_numpy(), np.arange(len(b))
-                    cls = salt & (CLASSES - 1)
+                    kind = salt & (KINDS - 1)
                 else:
-                    first, last = own, scheme.last(b["n"].to_numpy())
-                    source = np.repeat(np.arange(len(b)), last - first + 1)
-                    cls = first[source] + np.arange(len(source)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+                    source, kind = scheme.emitted(own)
                     salt = np.zeros(len(source), np.int64)
                 tokens = b["tokens"].to_list()
-                row, v, gone = _variants(scheme, level, cls, salt, [np.asarray(tokens[i]) for i in source])
+                row, v, gone = _variants(scheme, level, kind, salt, [np.asarray(tokens[i]) for i in source])
                 whose = source[row]
                 m = (gone | own.astype(np.uint64)[whose]).view(np.int64)
                 yield pd.DataFrame({"v": v, "m": m} | {c: b[c].to_numpy()[whose] for c in ("bag_id", "s0", "s1")})
@@ -144,25 +159,28 @@ def _emit(scheme: _Scheme, level: int):
     return run
 
 
-def _near(scheme: _Scheme) -> Column:
+def _near(scheme: _Scheme, t: Fraction) -> Column:
     """Whether rows a and b should be paired here; true somewhere for every similar pair.
 
-    The class must be the larger record's. Rows that both lack the same word agree in the whole part and meet there
-    without it. Each word that one side lacks flips one bit of the parity sketch, so no more bits may differ than
-    the class allows words to.
+    The variant must be for their two classes. Rows that both lack the same word agree in the whole part and meet
+    there without it. Each word that one side lacks flips one bit of the parity sketch, so no more bits may differ
+    than words of records of these classes can.
     """
-    low = F.lit(CLASSES - 1)
-    cls = F.col("a.v").bitwiseAND(low)
-    right_class = cls == F.greatest(F.col("a.m").bitwiseAND(low), F.col("b.m").bitwiseAND(low))
-    word = F.lit(-CLASSES)
+    low, word = F.lit(KINDS - 1), F.lit(-KINDS)
+    kind = F.col("a.v").bitwiseAND(low)
+    hi = F.shiftright(kind, APART.bit_length() - 1)
+    lo = hi - kind.bitwiseAND(F.lit(APART - 1))
+    own_a, own_b = F.col("a.m").bitwiseAND(low), F.col("b.m").bitwiseAND(low)
+    both = (F.greatest(own_a, own_b) == hi) & (F.least(own_a, own_b) == lo)
     fresh = (F.col("a.m").bitwiseAND(word) != F.col("b.m").bitwiseAND(word)) | (F.col("a.m").bitwiseAND(word) == 0)
     apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    allowed = F.element_at(F.array(*[F.lit(d) for d in scheme.differ]), cls.cast("int") + 1)
-    return right_class & fresh & (apart <= allowed)
+    highs = F.array(*[F.lit(int(x)).cast("bigint") for x in scheme.highs])
+    sizes = F.element_at(highs, lo.cast("int") + 1) + F.element_at(highs, hi.cast("int") + 1)
+    return both & fresh & (apart * (t.denominator + t.numerator) <= sizes * (t.denominator - t.numerator))
 
 
-def _meet(rows: DataFrame, on: list[str], scheme: _Scheme) -> DataFrame:
-    joined = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.bag_id") < F.col("b.bag_id"), _near(scheme)])
+def _meet(rows: DataFrame, on: list[str], scheme: _Scheme, t: Fraction) -> DataFrame:
+    joined = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.bag_id") < F.col("b.bag_id"), _near(scheme, t)])
     return joined.select(F.col("a.bag_id").alias("a"), F.col("b.bag_id").alias("b"))
 
 
@@ -179,11 +197,11 @@ def similar_bags(bags: DataFrame, similarity: str = "0.7") -> DataFrame:
         hot = cut(rows.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP_ROWS))
         groups, largest = hot.agg(F.count("*"), F.coalesce(F.max("c"), F.lit(0))).head()
         known = small_side(hot.select("v"), groups)
-        found.append(_meet(rows.join(known, "v", "left_anti") if groups else rows, ["v"], scheme))
+        found.append(_meet(rows.join(known, "v", "left_anti") if groups else rows, ["v"], scheme, t))
         last = level == LEVELS - 1 or largest <= BLOCKED_ROWS
         if groups:
             blocked = hot if last else hot.filter(F.col("c") <= BLOCKED_ROWS)
-            found.append(_meet(_blocks(rows.join(small_side(blocked, groups), "v")), ["v", "i", "j"], scheme))
+            found.append(_meet(_blocks(rows.join(small_side(blocked, groups), "v")), ["v", "i", "j"], scheme, t))
         if last:
             break
         again = rows.join(small_side(hot.filter(F.col("c") > BLOCKED_ROWS).select("v"), groups), "v", "left_semi")
