@@ -35,6 +35,8 @@ BLOCKED_ROWS = 40_000
 LEVELS = 3
 #: Records whose variants one task emits.
 TASK_BAGS = 4000
+#: Records whose variants are made at once; each becomes hundreds of rows.
+EMIT_BAGS = 500
 #: Ratio of the largest to the smallest record size of one size class.
 CLASS_RATIO = 1.25
 #: Size classes at most (enough for 10^24 words), and how many classes apart two similar records may be.
@@ -141,8 +143,8 @@ def _emit(scheme: _Scheme, level: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                b = batch.iloc[at : at + 2000].reset_index(drop=True)
+            for at in range(0, len(batch), EMIT_BAGS):
+                b = batch.iloc[at : at + EMIT_BAGS].reset_index(drop=True)
                 own = scheme.own(b["n"].to_numpy())
                 if level:
                     salt, source = b["v"].to_numpy(), np.arange(len(b))

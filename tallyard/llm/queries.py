@@ -86,7 +86,20 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
 
+_WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RELATED = " UNION ALL ".join(
+    f"SELECT source_index, '{k}' AS kind, lower(trim(regexp_replace({k}, '{_WS}+', ' ', 'g'))) AS value FROM candidates" for k in splits.KEYS
+)
+_GRAMS = """SELECT DISTINCT {0}, array_to_string(w[i:i + 12], ' ') AS gram FROM (
+  SELECT {0}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13)"""
+
 ORACLES = {
+    "p4_found": f"""WITH RECURSIVE keyed AS (SELECT DISTINCT * FROM ({_RELATED}) WHERE value <> '' AND value NOT IN {splits.STAND_INS}),
+      firsts AS (SELECT kind, value, min(source_index) AS low FROM keyed GROUP BY ALL),
+      near AS (SELECT k.source_index AS u, f.low AS v FROM keyed k JOIN firsts f USING (kind, value) UNION SELECT f.low, k.source_index FROM keyed k JOIN firsts f USING (kind, value)),
+      reach(u, v) AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON r.v = n.u)
+      SELECT min(v) AS anchor_index, u AS source_index FROM reach GROUP BY u HAVING min(v) <> u""",
+    "p7_found": f"SELECT DISTINCT d.doc_id, e.eval_id FROM ({_GRAMS.format('doc_id', 'documents')}) d JOIN ({_GRAMS.format('eval_id', 'eval_items')}) e USING (gram)",
     "p2_found": """
         WITH have AS (
           SELECT rung, lower(trim(answer, E' \\t\\r\\n')) AS answer, lower(trim(query_type, E' \\t\\r\\n')) AS query_type, count(DISTINCT source_index) AS n
