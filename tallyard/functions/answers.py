@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +14,32 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unfenced(raw: Column) -> Column:
     """raw without outer white space and without one enclosing code fence."""
-    lines = F.split(_strip(raw), LINES)
-    fenced = (F.size(lines) >= 2) & F.startswith(F.element_at(lines, 1), F.lit("```")) & (_strip(F.element_at(lines, -1)) == "```")
-    return F.when(fenced, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")).otherwise(_strip(raw))
+
+    def inner(text: Column) -> Column:
+        lines = F.split(text, LINES)
+        fenced = (F.size(lines) >= 2) & (_strip(F.element_at(lines, -1)) == "```")
+        kept = F.when(fenced, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")).otherwise(text)
+        return F.when(F.startswith(text, F.lit("```")), kept).otherwise(text)
+
+    return _let(_strip(raw), inner)
 
 
 def parse_yes_no(raw: Column) -> Column:
     """struct(answer, failure) of the strict YES or NO on the last non-empty line: YES, NO or INVALID with a failure code."""
-    lines = F.filter(F.transform(F.split(unfenced(raw), LINES), _strip), lambda x: x != "")
-    last = F.upper(F.try_element_at(lines, F.lit(-1)))
-    answer = F.when(last.isin("YES", "NO"), last).otherwise("INVALID")
-    failure = F.when(raw.isNull() | (_strip(raw) == ""), "response/empty_content").when(last.isNull() | ~last.isin("YES", "NO"), "invalid_label")
-    return F.struct(F.when(raw.isNull(), "INVALID").otherwise(answer).alias("answer"), failure.alias("failure"))
+
+    def judged(text: Column) -> Column:
+        last = F.upper(F.try_element_at(F.filter(F.transform(F.split(text, LINES), _strip), lambda x: x != ""), F.lit(-1)))
+        return _let(last, lambda x: F.struct(F.when(x.isin("YES", "NO"), x).otherwise("INVALID").alias("answer"), F.when(x.isNull() | ~x.isin("YES", "NO"), "invalid_label").alias("failure")))
+
+    empty = F.struct(F.lit("INVALID").alias("answer"), F.lit("response/empty_content").alias("failure"))
+    return F.when(raw.isNull() | ~raw.rlike(f"(?s)[^{WS[1:-1]}]"), empty).otherwise(_let(unfenced(raw), judged))
 
 
 def parse_structured(raw: Column) -> Column:
