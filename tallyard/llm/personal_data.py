@@ -103,7 +103,7 @@ _EMAIL = re.compile(r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?
 _EXT = r"(?:[ ,]*(?:\bext\b\.?|\bextension\b|\bx|#)[ ]?\d{1,6})?"
 _PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
-    r"(?:\+|00[ ]?)\d{1,3}[ .-]?(?:\(0\)[ ]?)?(?:\(?\d{1,5}\)?[ ./-]?){1,5}\d{2,}"  # with country code
+    r"(?:\+|00[ ]?)\d{1,3}[ .-]?(?:\(\d{1,5}\)[ ]?)?(?:\d{1,5}[ ./-]?){1,5}\d{2,}"  # with country code
     r"|\(0?\d{2,5}\)[ ]?\d{3,5}(?:[ -]?\d{2,5}){0,2}"  # area code in brackets
     r"|0\d{1,4}/\d{4,9}(?:-\d{1,4})?"
     r"|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}"
@@ -158,8 +158,8 @@ _MIDDLE = re.compile(r"(?:\s+[A-Za-z]\.?){1,2}\s+\Z")
 class NameParts:
     """Given and family names as listed, and the endings that the listed ones share.
 
-    Ending rule: of a kind's parts, endings of four letters that at least two parts have; parts without one
-    give endings of three letters that at least three of them share.
+    An ending is the shortest one of three letters or more that at least two parts have and before which no letter
+    stands in over three quarters of them: what is shared by words that otherwise differ.
     """
 
     def __init__(self, given: list[str], family: list[str]):
@@ -169,17 +169,28 @@ class NameParts:
 
     @staticmethod
     def _ends(parts: frozenset[str]) -> frozenset[str]:
-        four = {e for e, n in Counter(p[-4:] for p in parts if len(p) > 5).items() if n >= 2}
-        three = {e for e, n in Counter(p[-3:] for p in parts if p[-4:] not in four and len(p) > 4).items() if n >= 3}
-        return frozenset(four | three)
+        ends = set()
+        for part in parts:
+            for n in range(3, len(part) - 1):
+                before = Counter(p[-n - 1] for p in parts if p.endswith(part[-n:]) and len(p) > n)
+                if sum(before.values()) < 2:
+                    break
+                if max(before.values()) * 4 <= 3 * sum(before.values()):
+                    ends.add(part[-n:])
+                    break
+        return frozenset(ends)
+
+    @staticmethod
+    def _ends_in(w: str, ends: frozenset[str]) -> bool:
+        return any(w[-n:] in ends for n in range(3, min(9, len(w) - 1)))
 
     def is_family(self, w: str) -> bool:
         low = w.lower()
-        return low in self.family or (len(low) > 5 and (low[-4:] in self.family_ends or low[-3:] in self.family_ends) and low not in _FUNCTION_WORDS)
+        return low in self.family or (len(low) > 5 and self._ends_in(low, self.family_ends) and low not in _FUNCTION_WORDS)
 
     def is_given(self, w: str) -> bool:
         low = w.lower()
-        return low in self.given or (len(low) > 4 and low[-4:] in self.given_ends)
+        return low in self.given or (len(low) > 4 and self._ends_in(low, self.given_ends))
 
 
 def _could_be_given(w: str, parts: NameParts) -> bool:
@@ -204,8 +215,11 @@ def _names(text: str, parts: NameParts) -> list[tuple[int, int]]:
         while first > 0 and text[tokens[first - 1][1] : tokens[first][0]] == "-" and tokens[first - 1][2][0].isupper() and not parts.is_given(tokens[first - 1][2]):
             first -= 1
         begin = tokens[first][0]
-        whole = _before(text, tokens, first, begin, finish, parts) or _after(text, tokens, last, begin, finish, parts)
-        if whole and (not found or whole[0] >= found[-1][1]):
+        taken = found[-1][1] if found else 0
+        whole = _before(text, tokens, first, begin, finish, parts)
+        if whole is None or whole[0] < taken:
+            whole = _after(text, tokens, last, begin, finish, parts)
+        if whole and whole[0] >= taken:
             found.append(whole)
         i = last + 1
     return found
@@ -221,7 +235,7 @@ def _before(text: str, tokens: list, first: int, begin: int, finish: int, parts:
         k -= 1
     given = tokens[k]
     between = text[given[1] : begin]
-    if len(given[2]) > 1 and (_GAP.fullmatch(between) or (k < first - 1 and _MIDDLE.fullmatch(between))) and _could_be_given(given[2], parts):
+    if len(given[2]) > 1 and (_GAP.fullmatch(between) or (k < first - 1 and _MIDDLE.fullmatch(between))) and _could_be_given(given[2], parts) and not (k < first - 1 and parts.is_family(given[2])):
         start = given[0]
         if k > 0 and text[tokens[k - 1][1] : start] == "-" and tokens[k - 1][2][0].isupper():
             start = tokens[k - 1][0]
@@ -247,7 +261,7 @@ def _after(text: str, tokens: list, last: int, begin: int, finish: int, parts: N
         word, end = tokens[last + 1][2], tokens[last + 1][1]
         if parts.is_given(word) and (word[0].isupper() or word.lower() in parts.given):
             return begin, _with_initials(text, end)
-        if comma and _could_be_given(word, parts) and re.match(r"\s*(?:[.,。!?;()\]>\"<\n]|$|[A-Z]\.)|\s+[a-z]", text[end:]):
+        if comma and _could_be_given(word, parts):
             return begin, _with_initials(text, end)
     initials = re.match(r"(?:[A-Z]\.[ -]?){1,3}(?![a-z])", text[at:])
     if comma and initials:
