@@ -7,45 +7,70 @@ import json
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyard.functions.text import collapse
-from tallyard.operators.ranking import hashed_rank
+from tallyard.runtime import cut
 
 SEED = "20260905"
 # Rows of each split per rung and label.
 QUOTAS = {"smoke": 10, "calibration": 50, "locked_test": 100}
-#: Rows that the pool holds per stratum at most; the pool is a random part of larger strata.
-POOL_ROWS = 4000
+#: Rows of each rung, label and query type (and of each family in it) that the choice starts with; doubled until it is certain.
+FIRST_ROWS = 400
 
 
 def _order(*parts: object) -> str:
     return hashlib.sha256(json.dumps([SEED, *parts], separators=(",", ":")).encode()).hexdigest()
 
 
-def allocate(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
+def allocate(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame | None:
     """Fill each split's slots, stratum by stratum in hashed order, each with the row that is best by: distance of the
     query type's count from its share of the stratum, not starting a new family, repeats of its graph, repeats of
-    its story, tie hash. A family stays with the split that took it first. A stratum that runs dry gives fewer rows."""
-    shares = pool.groupby(["rung", "label"])["query_type"].value_counts(normalize=True).to_dict()
+    its story, tie hash. A family stays with the split that took it first. A stratum that runs dry gives fewer rows.
+
+    pool has all rows' share of the query type, and in kind what a row is: row, or the first row left out of a query type
+    (rest) or of a family in it (family_rest). None if a row left out could be better than the best of the pool.
+    """
+    strata: dict[tuple, dict[str, list]] = {}
+    rest: dict[tuple, str] = {}
+    shares: dict[tuple, float] = {}
+    for row in pool.sort_values("rank_hash").itertuples(index=False):
+        key = (row.rung, row.label)
+        shares[(*key, row.query_type)] = row.share
+        strata.setdefault(key, {}).setdefault(row.query_type, [])
+        if row.kind == "row":
+            strata[key][row.query_type].append(row)
+        else:
+            rest[(*key, row.query_type, row.family if row.kind == "family_rest" else None)] = row.rank_hash
+    hidden: dict[tuple, list] = {}
+    for (rung, label, query, family), rank in rest.items():
+        hidden.setdefault((rung, label, query), []).append((family, rank))
     owner: dict[str, str] = {}
     taken: set[int] = set()
     rows = []
-    blocks = sorted(((s, r, a) for s in quotas for r, a in pool[["rung", "label"]].drop_duplicates().itertuples(index=False)), key=lambda b: _order("slot", b[0], int(b[1]), b[2]))
-    strata = {k: list(g.itertuples(index=False)) for k, g in pool.sort_values("rank_hash").groupby(["rung", "label"])}
+    blocks = sorted(((s, r, a) for s in quotas for r, a in strata), key=lambda b: _order("slot", b[0], int(b[1]), b[2]))
     for split, rung, label in blocks:
         queries, graphs, stories = Counter(), Counter(), Counter()
         quota = quotas[split]
+        members = strata[(rung, label)]
         for _ in range(quota):
             best = None
-            for row in strata[(rung, label)]:
-                if row.source_index in taken or owner.get(row.family, split) != split:
-                    continue
-                away = abs(queries[row.query_type] + 1 - shares[(rung, label, row.query_type)] * quota)
-                score = (away, row.family not in owner, graphs[row.graph_id], stories[row.story_id], row.rank_hash)
-                if best is None or score < best[0]:
-                    best = (score, row)
+            away = {q: abs(queries[q] + 1 - shares[(rung, label, q)] * quota) for q in members}
+            for query in sorted(members, key=away.__getitem__):
+                if best is not None and away[query] > best[0][0]:
+                    break
+                for row in members[query]:
+                    if row.source_index in taken or owner.get(row.family, split) != split:
+                        continue
+                    score = (away[query], row.family not in owner, graphs[row.graph_id], stories[row.story_id], row.rank_hash)
+                    if best is None or score < best[0]:
+                        best = (score, row)
+                for family, rank in hidden.get((rung, label, query), ()):
+                    if family is not None and owner.get(family) != split:
+                        continue
+                    if best is None or (away[query], family is None, 0, 0, rank) < best[0]:
+                        return None
             if best is None:
                 break
             row = best[1]
@@ -58,23 +83,50 @@ def allocate(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["source_index", "split_name", "rung", "label", "query_type", "family"])
 
 
-def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None, pool_rows: int = POOL_ROWS) -> DataFrame:
+def _pool(rows: DataFrame, shares: DataFrame, most: int, slots: int, first: int) -> DataFrame:
+    """What allocate needs of rows when it looks at the first rows of each query type and of each family in it.
+
+    Of equal rows but for the tie hash (class), no more than most are taken from one family, and a new family is one of
+    the first slots in its class. New families come from the first rows of a query type, so of other families no row is needed.
+    """
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("rank_hash"))
+    stratum = ["rung", "label", "query_type"]
+    heads = rows.withColumn("n", place(*stratum, "graph_id", "story_id", "family")).filter(F.col("n") <= most)
+    new = heads.filter("n = 1").withColumn("n", place(*stratum, "graph_id", "story_id")).filter(F.col("n") <= slots)
+    new = new.withColumn("n", place(*stratum)).filter(F.col("n") <= first + 1)
+    families = new.filter(F.col("n") <= first).select("family").distinct()
+    known = heads.join(families, "family", "left_semi").withColumn("n", place(*stratum, "family")).filter(F.col("n") <= first + 1)
+    kind = lambda name: F.when(F.col("n") <= first, "row").otherwise(name)
+    both = known.withColumn("kind", kind("family_rest")).unionByName(new.filter(F.col("n") > first).withColumn("kind", F.lit("rest")))
+    return both.drop("n").join(shares, stratum)
+
+
+def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None, first_rows: int = FIRST_ROWS) -> DataFrame:
     """(source_index, split_name, rung, label, query_type, family) of the allocated rows.
 
-    Each choice depends on all before it, so one task makes them, over a pool of at most pool_rows rows per rung and
-    label, drawn at random where there are more (the sampling operator's documented bound). Rows that miss a rung,
-    a YES or NO label, a query type or a family are no candidates; repeated source indexes are one.
+    Each choice depends on all before it, so one task makes them, over the rows that can be chosen: see _pool. The
+    result is that of a choice from all rows. first_rows is only where the search begins: if a row that the task does
+    not have could be better, the choice is made again with twice as many. Rows that miss a rung, a YES or NO label,
+    a query type or a family are no candidates; repeated source indexes are one.
     """
     plain = lambda c: F.lower(collapse(F.col(c)))
     rows = candidates.select("source_index", "rung", plain("answer").alias("label"), plain("query_type").alias("query_type"), plain("family").alias("family"), plain("graph_id").alias("graph_id"), plain("story_id").alias("story_id"))
     rows = rows.filter("rung is not null and label in ('yes', 'no') and query_type <> '' and family <> ''").na.fill("", ["graph_id", "story_id"])
     rows = rows.groupBy("source_index").agg(F.min(F.struct("rung", "label", "query_type", "family", "graph_id", "story_id")).alias("r")).select("source_index", "r.*")
-    total = rows.count()
-    pool = hashed_rank(rows, ["rung", "label"], ["source_index"], int(SEED), total).filter(F.col("rank") <= pool_rows).drop("rank")
-    pool = pool.withColumn("rank_hash", F.sha2(F.concat(F.lit(f'["{SEED}","candidate",'), F.col("source_index").cast("string"), F.lit("]")), 256))
+    rows = cut(rows.withColumn("rank_hash", F.sha2(F.concat(F.lit(f'["{SEED}","candidate",'), F.col("source_index").cast("string"), F.lit("]")), 256)))
     wanted = quotas or QUOTAS
+    counts = rows.groupBy("rung", "label", "query_type").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("rung", "label").agg(F.sum("n").alias("total"))
+    shares = cut(counts.join(totals, ["rung", "label"]).select("rung", "label", "query_type", (F.col("n") / F.col("total")).alias("share")))
+    slots = max(1, sum(wanted.values()) * totals.count())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return allocate(pdf, wanted)
+        made = allocate(pdf, wanted)
+        return pd.DataFrame([(None,) * 6], columns=["source_index", "split_name", "rung", "label", "query_type", "family"]).astype({"source_index": "Int64", "rung": "Int32"}) if made is None else made
 
-    return pool.groupBy(F.lit(1).alias("all")).applyInPandas(lambda _, pdf: run(pdf.drop(columns="all", errors="ignore")), "source_index bigint, split_name string, rung int, label string, query_type string, family string")
+    while True:
+        pool = _pool(rows, shares, max(wanted.values()), slots, first_rows)
+        chosen = cut(pool.groupBy(F.lit(1).alias("all")).applyInPandas(lambda _, pdf: run(pdf.drop(columns="all", errors="ignore")), "source_index bigint, split_name string, rung int, label string, query_type string, family string"))
+        if chosen.filter("split_name is null").isEmpty():
+            return chosen
+        first_rows *= 2

@@ -168,6 +168,19 @@ def test_allocation_keeps_families_apart(spark):
     assert got.groupby(["split_name", "rung", "label"]).size().to_dict() == {(s, r, a): n for s, n in (("a", 5), ("b", 8)) for r in (1, 2, 3) for a in ("yes", "no")}
 
 
+@pytest.mark.parametrize("wide", [3, 4000])
+def test_allocation_chooses_from_all_rows(spark, wide):
+    rng = random.Random(2)
+    data = [(i, 1 + i % 2, "yes", rng.choice(["ate", "nde", "ett"]), "hot" if i % 5 == 0 else f"f{rng.randrange(3000)}", f"g{rng.randrange(wide)}", f"s{rng.randrange(wide)}") for i in range(9000)]
+    df = spark.createDataFrame(data, "source_index bigint, rung int, answer string, query_type string, family string, graph_id string, story_id string")
+    pool = df.withColumnRenamed("answer", "label").toPandas().assign(kind="row")
+    pool["rank_hash"] = [allocation._order("candidate", int(i)) for i in pool.source_index]
+    shares = pool.groupby(["rung", "label"])["query_type"].value_counts(normalize=True).to_dict()
+    pool["share"] = [shares[k] for k in zip(pool.rung, pool.label, pool.query_type)]
+    want = allocation.allocate(pool, {"a": 6, "b": 9})
+    assert rows(allocation.split_allocation(df, {"a": 6, "b": 9}, first_rows=4)) == sorted(want.itertuples(index=False, name=None), key=repr)
+
+
 def test_percentile_is_nearest_rank(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 21)], "n bigint")
     assert audit.size_stats(df).head()["p95"] == 19
