@@ -15,7 +15,11 @@ from tallyard.runtime import cut, small_side
 SEED_WORDS = 5
 #: A run of this many consecutive words is a leak; every such run holds a seed.
 RUN_WORDS = 13
+#: Part of a test item's best possible score from which an alignment is an edited copy.
+SHARE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Documents and test items compared by their words at once in one task.
+BLOCK_DOCS, BLOCK_TESTS = 2_000, 1_000
 #: Pairs aligned at once in one task, as cells of the alignment matrix's row.
 BATCH_CELLS = 2_000_000
 
@@ -45,6 +49,47 @@ def rare_seeds(grams: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return grams.join(chosen, ["eval_id", "pos"])
 
 
+def _pieces(tokens: list[str]) -> list[tuple]:
+    """The words and the pairs of neighbours, each with how often it came before."""
+    seen: dict[object, int] = {}
+    made = []
+    for piece in [*tokens, *zip(tokens, tokens[1:])]:
+        seen[piece] = k = seen.get(piece, 0) + 1
+        made.append((piece, k))
+    return made
+
+
+def _alike(docs: pd.DataFrame, tests: pd.DataFrame, share: float) -> pd.DataFrame:
+    """(doc_id, eval_id) of the pairs that have enough words and pairs of neighbours in common for the share of the score."""
+    places: dict[tuple, int] = {}
+    held = [[places.setdefault(x, len(places)) for x in _pieces(list(t))] for t in tests["eval_tokens"]]
+    has = np.zeros((len(places), len(tests)), np.uint8)
+    for k, own in enumerate(held):
+        has[own, k] = 1
+    least = np.array([len(t) * MATCH * share for t in tests["eval_tokens"]])
+    rows = []
+    for doc, tokens in zip(docs["doc_id"], docs["doc_tokens"], strict=True):
+        own = [places[x] for x in _pieces(list(tokens)) if x in places]
+        common = has[own].sum(axis=0, dtype=np.int32)
+        rows += [(doc, tests["eval_id"].iat[k]) for k in np.flatnonzero((common > 0) & (common + 1 >= least))]
+    return pd.DataFrame(rows, columns=["doc_id", "eval_id"])
+
+
+def alike_pairs(read: DataFrame, tested: DataFrame, share: float, docs: int, tests: int) -> DataFrame:
+    """(doc_id, eval_id) of all pairs whose alignment could have at least this share of the test item's best score.
+
+    An alignment of m equal words and e edits scores 2m - e. It has m words in common and, as e edits leave at most
+    e + 1 runs, m - e - 1 pairs of neighbours; so the words and pairs in common, counted with repeats, are at least
+    the score less one. docs and tests are about how many rows there are; blocks of the two are compared in a task.
+    """
+    block = lambda c, rows, size: F.pmod(F.xxhash64(c), F.lit(rows // size + 1)).cast("int")
+    parts, blocks = docs // BLOCK_DOCS + 1, tests // BLOCK_TESTS + 1
+    left = read.withColumn("part", block("doc_id", docs, BLOCK_DOCS)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = tested.filter(F.size("eval_tokens") > 0).withColumn("block", block("eval_id", tests, BLOCK_TESTS)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kinds = dict(read.dtypes) | dict(tested.dtypes)
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(lambda a, b: _alike(a, b, share), f"doc_id {kinds['doc_id']}, eval_id {kinds['eval_id']}")
+
+
 def _align(batch: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
     """(best local alignment's score, longest common subsequence, longest equal run) of each pair of word lists."""
     height = max(len(a) for a, _ in batch)
@@ -96,12 +141,13 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "eval_id", "score", "matched", "longest_run", "eval_words"])
 
 
-def leak_alignments(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", eval_id: str = "eval_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, eval_id, score, matched, longest_run, eval_words) of every document and test item that share a seed.
+def leak_alignments(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", eval_id: str = "eval_id", text: str = "text", run_words: int = RUN_WORDS, share: float | None = None) -> DataFrame:
+    """(doc_id, eval_id, score, matched, longest_run, eval_words) of every document and test item that share a seed or, if
+    share is given, could have an alignment of that share of the item's best possible score: none that has is missed.
 
     Seeds are the test items' SEED_WORDS-grams that are rarest in the corpus, at least one in every run of
-    run_words words, so each pair with such a run is a candidate; pairs with edited copies are candidates wherever
-    one seed survived. Candidates are aligned on their whole texts: score is Smith-Waterman's, matched the longest
+    run_words words, so each pair with such a run is a candidate; without share, pairs with edited copies are candidates
+    only where one seed survived. Candidates are aligned on their whole texts: score is Smith-Waterman's, matched the longest
     common subsequence of words, longest_run the longest run of equal consecutive words. Null and empty texts
     and texts without words match nothing; documents with equal text are separate; repeated rows of one id are one.
     The test items' n-grams are broadcast only if their counted number allows it.
@@ -110,12 +156,14 @@ def leak_alignments(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_i
     grams = cut(tested.select("eval_id", F.posexplode(ngrams(F.col("eval_tokens"), SEED_WORDS)).alias("pos", "gram")))
     known = grams.select("gram").distinct()
     count = grams.count()
-    read = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("doc_tokens")).filter(F.col("doc_id").isNotNull() & (F.size("doc_tokens") >= SEED_WORDS))
+    read = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("doc_tokens")).filter(F.col("doc_id").isNotNull() & (F.size("doc_tokens") >= (SEED_WORDS if share is None else 1)))
     long = read.select("doc_id", F.explode(ngrams(F.col("doc_tokens"), SEED_WORDS)).alias("gram"))
     hits = cut(long.join(small_side(known, count), "gram").groupBy("doc_id", "gram").agg(F.count("*").alias("n")))
     counts = hits.groupBy("gram").agg(F.sum("n").alias("c"))
     seeds = cut(rare_seeds(grams, counts, run_words - SEED_WORDS + 1).select("eval_id", "gram").distinct())
     pairs = cut(hits.join(small_side(seeds, count), "gram").select("doc_id", "eval_id").distinct())
+    if share is not None:
+        pairs = cut(pairs.unionByName(alike_pairs(read, tested, share, documents.count(), tested.count())).distinct())
     both = read.join(pairs, "doc_id").join(small_side(tested, count), "eval_id").dropDuplicates(["doc_id", "eval_id", "doc_tokens"])
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     layout = _LAYOUT.format(doc=kinds["doc_id"], eval=kinds["eval_id"])
@@ -127,6 +175,6 @@ def leaks(alignments: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return alignments.filter(F.col("longest_run") >= run_words).select("doc_id", "eval_id").distinct()
 
 
-def edited_leaks(alignments: DataFrame, share: float = 0.6) -> DataFrame:
+def edited_leaks(alignments: DataFrame, share: float = SHARE) -> DataFrame:
     """The alignments that cover at least this share of the test item's best possible score, edited copies included."""
     return alignments.filter(F.col("score") >= F.col("eval_words") * MATCH * share)

@@ -71,7 +71,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of documents with held-out items that cover most of an item, edited copies included."""
-    return leaks.edited_leaks(leaks.leak_alignments(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")))
+    return leaks.edited_leaks(leaks.leak_alignments(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), share=leaks.SHARE))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,22 @@ def test_leaks(spark):
     assert leaks.leak_alignments(documents, items.limit(0)).count() == 0
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    rng = random.Random(8)
+    tests = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(5)] + [(9, "lone word"), (10, "")]
+    docs = [(i, f"before {t} after") for i, t in tests]
+    for k in range(60):
+        own = tests[k % 5][1].split()
+        for at in range(rng.randrange(6), 40, rng.randrange(3, 7)):
+            own[at] = rng.choice([f"x{k}", "", f"{own[at]} y{k}"])
+        docs.append((100 + k, " ".join(own)))
+    documents, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "eval_id bigint, text string")
+    pairs_ = [(d, e, x.split(), t.split()) for d, x in docs for e, t in tests if x.split() and t.split()]
+    want = {(d, e) for d, e, x, t in pairs_ if leaks._align([(t, x)])[0][0] >= len(t) * leaks.MATCH * 0.6}
+    found = leaks.edited_leaks(leaks.leak_alignments(documents, items, share=0.6))
+    assert len(want) > 30 and rows(found.select("doc_id", "eval_id")) == sorted(want, key=repr)
+
+
 def test_alignment_scores():
     def smith_waterman(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
