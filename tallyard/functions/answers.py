@@ -43,15 +43,20 @@ def parse_yes_no(raw: Column) -> Column:
 
 
 def parse_structured(raw: Column) -> Column:
-    """struct(answer, failure) of a JSON object with exactly the field answer: parse, schema and label failures told apart."""
-    text = _strip(raw)
-    parsed = F.try_parse_json(text)
-    keys = F.json_object_keys(F.when(parsed.isNotNull() & F.startswith(text, F.lit("{")), text))
-    label = F.upper(_strip(F.get_json_object(text, "$.answer")))
-    failure = (
-        F.when(raw.isNull() | (text == ""), "response/empty_content")
-        .when(parsed.isNull(), "parse_failure")
-        .when(keys.isNull() | (F.size(keys) != 1) | ~F.array_contains(keys, "answer"), "schema_failure")
-        .when(label.isNull() | ~label.isin("YES", "NO"), "invalid_label")
-    )
-    return F.struct(F.when(failure.isNull(), label).otherwise("INVALID").alias("answer"), failure.alias("failure"))
+    """struct(answer, failure) of a JSON object with a field answer, without an enclosing code fence: parse, schema and label failures told apart."""
+
+    def judged(text: Column) -> Column:
+        # the parser passes over what follows a value; no text that goes on fits into both an array and an object
+        whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
+        keys = F.json_object_keys(F.when(whole & F.startswith(text, F.lit("{")), text))
+        label = F.upper(_strip(F.get_json_object(text, "$.answer")))
+        failure = (
+            F.when(~whole, "parse_failure")
+            .when(keys.isNull() | ~F.array_contains(keys, "answer"), "schema_failure")
+            .when(label.isNull() | ~label.isin("YES", "NO"), "invalid_label")
+        )
+        return F.struct(F.when(failure.isNull(), label).otherwise("INVALID").alias("answer"), failure.alias("failure"))
+
+    empty = F.struct(F.lit("INVALID").alias("answer"), F.lit("response/empty_content").alias("failure"))
+    text = F.regexp_replace(unfenced(raw), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    return F.when(raw.isNull() | (_strip(raw) == ""), empty).otherwise(_let(text, judged))

@@ -118,7 +118,7 @@ def parse_yesno(spark, sf_dir):
 
 
 def parse_structured(spark, sf_dir):
-    raw = load(spark, sf_dir, "event_records").select("raw_output").distinct().filter(F.ltrim("raw_output").startswith("{"))
+    raw = load(spark, sf_dir, "event_records").select("raw_output").distinct()
     return raw.withColumn("p", answers.parse_structured(F.col("raw_output"))).select("raw_output", "p.answer", "p.failure")
 
 

@@ -48,6 +48,24 @@ def test_parse_structured(spark, raw, answer, failure):
     assert tuple(got) == (answer, failure)
 
 
+@pytest.mark.parametrize(
+    ("raw", "answer", "failure"),
+    [('```json\n {"answer": "no"}\n```', "NO", None), ('{"answer": "YES", "why": "x"}', "YES", None), ('{"why": {"answer": "YES"}}', "INVALID", "schema_failure"), ("```\n```", "INVALID", "parse_failure"), ("119 records", "INVALID", "parse_failure"), ('{"answer": "yes"} so', "INVALID", "parse_failure"), (" \n", "INVALID", "response/empty_content")],
+)
+def test_parse_structured_as_the_reference(spark, raw, answer, failure):
+    got = spark.createDataFrame([(raw,)], "r string").select(answers.parse_structured(F.col("r")).alias("p")).select("p.*").head()
+    assert tuple(got) == (answer, failure)
+
+
+def test_parse_structured_judges_every_reply(spark, tmp_path):
+    from tallyard.plans.catalogue import QUERIES
+
+    replies = [None, "", "YES", '["yes"]', '\n{"answer": "yes"}', '```\n{"answer": "no"}\n```', "YES"]
+    spark.createDataFrame([(r,) for r in replies], "raw_output string").write.parquet(f"{tmp_path}/event_records.parquet")
+    got = {r["raw_output"]: r["failure"] or r["answer"] for r in QUERIES["parse_structured"](spark, str(tmp_path)).collect()}
+    assert got == {None: "response/empty_content", "": "response/empty_content", "YES": "parse_failure", '["yes"]': "schema_failure", '\n{"answer": "yes"}': "YES", '```\n{"answer": "no"}\n```': "NO"}
+
+
 def brute_components(edges):
     parent = {}
 
