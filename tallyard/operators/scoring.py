@@ -21,13 +21,18 @@ COMPARISONS = (
 )
 
 
+#: What an item's subgroups are told by.
+SUBGROUPS = ("rung", "query_type", "graph_id", "story_id")
+
+
 def gold_labels(items: DataFrame, source: DataFrame) -> DataFrame:
-    """(item_id, gold, rung, query_type): YES or NO of each item from the source rows with the same texts; items whose source rows disagree or lack a label have none."""
+    """(item_id, gold, rung, query_type, graph_id, story_id): YES or NO of each item from the source rows with the same texts; items whose source rows disagree or lack a label have none."""
     label = F.upper(collapse(F.col("answer")))
-    known = source.select("given_info", "question", label.alias("label"), F.col("meta.rung").alias("rung"), F.lower(collapse(F.col("meta.query_type"))).alias("query_type"))
+    named = [F.lower(collapse(F.col(f"meta.{c}"))).alias(c) for c in ("query_type", "graph_id", "story_id")]
+    known = source.select("given_info", "question", label.alias("label"), F.col("meta.rung").alias("rung"), *named)
     joined = items.select("item_id", "given_info", "question").distinct().join(known.filter("label in ('YES', 'NO')"), ["given_info", "question"])
-    per = joined.groupBy("item_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rung").alias("rung"), F.min("query_type").alias("query_type"))
-    return per.filter("low = high").select("item_id", F.col("low").alias("gold"), "rung", "query_type")
+    per = joined.groupBy("item_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[F.min(c).alias(c) for c in SUBGROUPS])
+    return per.filter("low = high").select("item_id", F.col("low").alias("gold"), *SUBGROUPS)
 
 
 def judged(finals: DataFrame, gold: DataFrame) -> DataFrame:
@@ -49,8 +54,8 @@ def unknown_predictions(finals: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def subgroup_scores(rows: DataFrame, small: int = 20) -> DataFrame:
-    """Accuracy per method overall and by rung and by query type, in one pass; cells of few units are flagged."""
-    sets = rows.groupingSets([["config_id"], ["config_id", "rung"], ["config_id", "query_type"]], "config_id", "rung", "query_type")
+    """Accuracy per method overall and by rung, query type, graph and story, in one pass; cells of few units are flagged."""
+    sets = rows.groupingSets([["config_id"], *[["config_id", c] for c in SUBGROUPS]], "config_id", *SUBGROUPS)
     per = sets.agg(F.grouping_id().cast("bigint").alias("set_id"), F.count("*").alias("units"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
     return per.withColumn("small_cell", F.col("units") < small)
 

@@ -19,7 +19,7 @@ def _judged(spark, sf_dir):
 
 
 def gold_labels(spark, sf_dir):
-    return _gold(spark, sf_dir)
+    return _gold(spark, sf_dir).select("item_id", "gold", "rung", "query_type")
 
 
 def score_summary(spark, sf_dir):

@@ -204,6 +204,17 @@ def test_percentile_is_nearest_rank(spark):
     assert audit.size_stats(df).head()["p95"] == 19
 
 
+def test_subgroups_by_every_dimension(spark):
+    source = items(spark, [(0, 1, "d", "a", "q", "yes", ("ate", 1, "S ", "g1", "m", "null")), (1, 2, "d", "b", "q", "no", ("ate", 2, "s", "g2", "m", "null"))])
+    nested = source.select("given_info", "question", "answer", F.struct("query_type", "rung", "story_id", "graph_id").alias("meta"))
+    asked = spark.createDataFrame([("x", "a", "q"), ("y", "b", "q")], "item_id string, given_info string, question string")
+    finals = spark.createDataFrame([("r", "x", "C", "YES"), ("r", "y", "C", "YES")], "run_id string, item_id string, config_id string, final_answer string")
+    got = scoring.subgroup_scores(scoring.judged(finals, scoring.gold_labels(asked, nested)))
+    assert rows(got.filter("graph_id is not null").select("graph_id", "units", "accuracy", "small_cell")) == [("g1", 1, 1.0, True), ("g2", 1, 0.0, True)]
+    assert rows(got.filter("story_id is not null").select("story_id", "units", "accuracy")) == [("s", 2, 0.5)]
+    assert got.count() == 7
+
+
 def test_bootstrap_ignores_partitioning(spark):
     df = spark.createDataFrame([("m", i % 3 == 0, "r", str(i)) for i in range(50)], "config_id string, correct boolean, run_id string, item_id string")
     assert rows(scoring.bootstrap_accuracy(df, 20)) == rows(scoring.bootstrap_accuracy(df.repartition(7), 20))
