@@ -51,7 +51,7 @@ def swap_repair(available: dict, wanted: dict, floors: dict, size: int, seed: in
         (a, i), (b, j) = over[0], under[0]
         above, below = -a, -b
         steps = int(min(above, below))
-        if i == j or (above < 1 and below < 1) or above + below <= 1 or above <= 0 or below <= 0:
+        if i == j or above + below <= 1 + 1e-9 or above <= 0 or below <= 0:
             break
         out, into = keys[i], keys[j]
         n = max(1, min(steps, drawn[out] - floor[out], available[into] - drawn[into]))
