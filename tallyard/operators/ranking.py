@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one ranking bucket holds on average.
+#: Rows that one ranking bucket holds on average, or the square root of all rows if that is more.
 BUCKET_ROWS = 2048
 
 
@@ -18,11 +20,11 @@ def hashed_rank(df: DataFrame, group: list[str], unique: list[str], seed: int, t
     """df with a 1-based rank of each row inside its group, in an order drawn at random from seed.
 
     unique names columns that tell rows apart inside a group (ties in the drawn number are broken by them).
-    The drawn number's leading bits give a bucket of about BUCKET_ROWS rows; a histogram of (group, bucket)
-    gives each bucket's offset and row_number runs inside buckets only, so a group holding a third of all rows
+    The drawn number's leading bits give its bucket; buckets and rows of a bucket both grow with the square root of
+    the rows at most. A histogram of (group, bucket) gives each bucket's offset and row_number runs inside buckets only, so a group holding a third of all rows
     is spread over as many tasks as any other rows. Null group values form a group of their own.
     """
-    buckets = max(1, min(1 << 24, total // BUCKET_ROWS))
+    buckets = max(1, total // max(BUCKET_ROWS, math.isqrt(total)))
     draw = df.withColumn("_draw", random_key(*[F.col(c) for c in unique], seed=seed))
     draw = draw.withColumn("_bucket", F.floor(F.col("_draw") / F.lit(float(1 << 63)) * buckets).cast("bigint"))
     draw = draw.withColumn("_group", F.struct(*group) if group else F.lit(0))

@@ -90,6 +90,32 @@ def test_components(spark, shape):
     assert rows(got) == sorted(((a, b) for a, b in brute_components(edges) if a not in loops), key=repr)
 
 
+def test_components_over_many_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK_EDGES", 1)
+    edges = [(i + 1, i) for i in range(40)] + [(100 + i, 150) for i in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = rows(components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(brute_components(edges), key=repr)
+
+
+def test_components_of_names(spark):
+    edges = [("b", "a"), ("c", "b"), ("é", "z"), ("x", None), ("y", "y")]
+    assert rows(components.connected_components(spark.createDataFrame(edges, "u string, v string"))) == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("é", "z")]
+
+
+def test_hot_keys_meet_their_row(spark, monkeypatch):
+    from tallyard import runtime
+
+    monkeypatch.setattr(runtime, "hot_limit", lambda total: 5)
+    big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(60)] + [(None, -1)], "k int, x int")
+    small = spark.createDataFrame([(0, "hot", 40), (3, "cold", 1)], "k int, y string, n bigint")
+    for how in ("inner", "left"):
+        assert rows(runtime.skew_safe_join(big, small, ["k"], "n", 61, how)) == rows(big.join(small.drop("n"), "k", how))
+
+
 def test_key_edges_with_a_hot_key(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None, f"g{i // 2}") for i in range(60)], "i bigint, a string, b string")
     got = components.connected_components(components.key_edges(df, "i", {"a": F.col("a"), "b": F.col("b")}))
