@@ -53,6 +53,12 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.grouped_splits(load(spark, sf_dir, "candidates"), load(spark, sf_dir, "split_targets"))
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each split holds, against its target."""
+    targets = load(spark, sf_dir, "split_targets")
+    return splits.split_shares(splits.grouped_splits(load(spark, sf_dir, "candidates"), targets), targets)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items with small edits."""
     found = near_duplicates.near_duplicates(load(spark, sf_dir, "label_free_items"))
@@ -84,7 +90,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redacted(load(spark, sf_dir, "documents"), load(spark, sf_dir, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p4_shares, p5_found, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
 
 _WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RELATED = " UNION ALL ".join(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyard.functions.text import collapse
 from tallyard.operators.components import connected_components, key_edges
 from tallyard.operators.ranking import hashed_rank
-from tallyard.runtime import cut
+from tallyard.runtime import cut, ratio, skew_safe_join
 
 KEYS = ("family", "story_id", "graph_id")
 #: Spellings that stand for a missing value, lower-cased.
@@ -37,37 +37,45 @@ def related_groups(records: DataFrame, record_id: str = "source_index", keys: tu
 def balance_bins(weights: dict[int, int], bins: int) -> list[dict[int, int]]:
     """Spread groups over bins of equal weight by largest differencing; weights maps a weight to how many groups have it.
 
-    Whole multiples of the bin count are dealt evenly. Each other group starts as a partition of its own, with
-    all weight in one bin; the two partitions with the widest spread are combined, the heaviest bin of one with
-    the lightest of the other, until one is left. Returns for each bin how many groups of each weight it holds.
-    The driver holds one entry per distinct weight, of which n rows have fewer than the square root of 2n.
+    Whole multiples of the bin count are dealt evenly. The rest of each weight, fewer groups than bins, starts as one
+    partition with a group in each of so many bins, as differencing would place equal weights; the two partitions
+    with the widest spread are combined, the heaviest bin of one with the lightest of the other, until one is left.
+    Returns for each bin how many groups of each weight it holds. The driver holds one partition per distinct
+    weight, of which n rows have fewer than the square root of 2n, and per partition one small number a bin.
     """
     even = {w: n // bins for w, n in weights.items() if n >= bins}
-    heap, kept, serial = [], {}, 0
+    small = np.uint8 if bins <= 256 else np.uint32
+    heap: list[tuple[int, int]] = []
+    loads: dict[int, np.ndarray] = {}
+    made: list[tuple] = []  # per partition its weight and count, or the two it was made of and the order of their sums
 
-    def push(loads: np.ndarray, holds: list[list[int]]) -> None:
-        nonlocal serial
-        order = np.argsort(loads, kind="stable")
-        loads, holds = loads[order], [holds[i] for i in order]
-        heapq.heappush(heap, (-int(loads[-1] - loads[0]), serial))
-        kept[serial] = (loads, holds)
-        serial += 1
+    def start(w: int, n: int) -> np.ndarray:
+        return np.concatenate([np.zeros(bins - n, np.int64), np.full(n, w, np.int64)])
 
     for w in sorted(weights, reverse=True):
-        for _ in range(weights[w] % bins):
-            loads = np.zeros(bins, np.int64)
-            loads[-1] = w
-            push(loads, [[] for _ in range(bins - 1)] + [[w]])
+        if weights[w] % bins:
+            heapq.heappush(heap, (-w, len(made)))
+            made.append((w, weights[w] % bins))
     while len(heap) > 1:
-        a, b = kept.pop(heapq.heappop(heap)[1]), kept.pop(heapq.heappop(heap)[1])
-        push(a[0] + b[0][::-1], [x + y for x, y in zip(a[1], reversed(b[1]), strict=True)])
-    last = kept.pop(heap[0][1])[1] if heap else [[] for _ in range(bins)]
-    result = []
-    for hold in last:
-        own = dict(even)
-        for w in hold:
-            own[w] = own.get(w, 0) + 1
-        result.append(own)
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        x, y = (loads.pop(i) if i in loads else start(*made[i]) for i in (a, b))
+        both = x + y[::-1]
+        order = np.argsort(both, kind="stable")
+        loads[len(made)] = both = both[order]
+        heapq.heappush(heap, (int(both[0] - both[-1]), len(made)))
+        made.append((a, b, order.astype(small)))
+    result = [dict(even) for _ in range(bins)]
+    open_parts = [(heap[0][1], np.arange(bins))] if heap else []
+    while open_parts:  # from the last partition back to the first ones: where each bin lay
+        at, place = open_parts.pop()
+        if len(made[at]) == 2:
+            w, n = made[at]
+            for i in np.flatnonzero(place >= bins - n):
+                result[i][w] = result[i].get(w, 0) + 1
+        else:
+            a, b, order = made[at]
+            before = order[place].astype(np.int64)
+            open_parts += [(a, before), (b, bins - 1 - before)]
     return result
 
 
@@ -91,7 +99,7 @@ def grouped_splits(records: DataFrame, targets: DataFrame, record_id: str = "sou
     targets has split_name and target_share; shares are taken relative to their sum. A record without relatives is
     a group of its own. Null ids are left out; no records give an empty result; without targets split_name is null.
     The driver sees the number of groups per group size only; which groups of a size go where is drawn from seed
-    by a distributed rank.
+    by a distributed rank. A group that holds many records reaches them by broadcast, so no task gets all of them.
     """
     ids = records.select(F.col(record_id).alias("node")).filter("node is not null").distinct()
     groups = related_groups(records, record_id, keys)
@@ -112,7 +120,23 @@ def grouped_splits(records: DataFrame, targets: DataFrame, record_id: str = "sou
     plan = F.broadcast(spark.createDataFrame(spans, "weight bigint, low bigint, high bigint, split_name string"))  # at most one row per size and split
     ranked = hashed_rank(sizes, ["weight"], ["group_id"], seed, sum(histogram.values()))
     chosen = ranked.join(plan, (ranked["weight"] == plan["weight"]) & (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")), "left")
-    return placed.join(chosen.select("group_id", "split_name"), "group_id").select(F.col("node").alias(record_id), "group_id", "split_name")
+    named = cut(chosen.select("group_id", "split_name", ranked["weight"].alias("weight")))
+    return skew_safe_join(placed, named, ["group_id"], "weight", sum(w * n for w, n in histogram.items())).select(F.col("node").alias(record_id), "group_id", "split_name")
+
+
+def split_shares(placed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split_name, records, share, target_share, deviation) of each target: what a result of grouped_splits holds of it.
+
+    Shares are of all placed records, target shares of their sum, both rounded to six places; a split that got
+    nothing has 0 records. A target without a name or share is left out.
+    """
+    wanted = targets.select("split_name", F.col("target_share").cast("double").alias("t")).dropna().groupBy("split_name").agg(F.sum("t").alias("t"))
+    total = wanted.agg(F.sum("t").alias("all"))
+    counted = placed.groupBy("split_name").agg(F.count("*").alias("records"))
+    rows = counted.agg(F.sum("records").alias("of"))
+    joined = wanted.join(F.broadcast(counted), "split_name", "left").join(F.broadcast(rows), how="left").join(F.broadcast(total), how="left")
+    share, aim = F.round(ratio(F.coalesce("records", F.lit(0)), F.col("of")), 6), F.round(ratio(F.col("t"), F.col("all")), 6)
+    return joined.select("split_name", F.coalesce("records", F.lit(0)).alias("records"), share.alias("share"), aim.alias("target_share"), F.round(share - aim, 6).alias("deviation"))
 
 
 def related_pairs(records: DataFrame, record_id: str = "source_index", keys: tuple[str, ...] = KEYS) -> DataFrame:

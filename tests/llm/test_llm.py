@@ -199,6 +199,20 @@ def test_grouped_splits(spark):
     assert got.groupby("group_id")["split_name"].nunique().max() == 1
     assert splits.grouped_splits(df.limit(0), targets).count() == 0
     assert splits.grouped_splits(df, targets.limit(0)).filter("split_name is not null").count() == 0
+    held = {r["split_name"]: r for r in splits.split_shares(splits.grouped_splits(df, targets), targets).collect()}
+    assert {k: r["records"] for k, r in held.items()} == {k: int((got["split_name"] == k).sum()) for k in held}
+    assert all(abs(r["share"] - r["target_share"] - r["deviation"]) < 1e-9 for r in held.values())
+
+
+def test_many_weights_make_few_partitions():
+    weights = {w: 1 + w % 250 for w in range(1, 1500)}
+    bins = splits.balance_bins(weights, 100)
+    total = Counter()
+    for b in bins:
+        total.update(b)
+    assert dict(total) == weights
+    loads = [sum(w * c for w, c in b.items()) for b in bins]
+    assert max(loads) - min(loads) <= 2
 
 
 @given(st.dictionaries(st.integers(1, 200), st.integers(1, 30), max_size=8), st.integers(2, 12))
