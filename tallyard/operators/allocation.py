@@ -1,4 +1,4 @@
-"""Greedy stratified allocation of a bounded pool to splits that never share a family."""
+"""Greedy stratified allocation to splits that never share a family."""
 
 from __future__ import annotations
 
@@ -14,8 +14,9 @@ from tallyard.functions.text import collapse
 from tallyard.runtime import cut
 
 SEED = "20260905"
-# Rows of each split per rung and label.
-QUOTAS = {"smoke": 10, "calibration": 50, "locked_test": 100}
+# Rows of each split per rung, half of them of each label.
+QUOTAS = {"smoke": 20, "calibration": 100, "locked_test": 200}
+LABELS = ("yes", "no")
 #: Rows of each rung, label and query type (and of each family in it) that the choice starts with; doubled until it is certain.
 FIRST_ROWS = 400
 
@@ -25,19 +26,20 @@ def _order(*parts: object) -> str:
 
 
 def allocate(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame | None:
-    """Fill each split's slots, stratum by stratum in hashed order, each with the row that is best by: distance of the
-    query type's count from its share of the stratum, not starting a new family, repeats of its graph, repeats of
-    its story, tie hash. A family stays with the split that took it first. A stratum that runs dry gives fewer rows.
+    """Fill each split's slots, one rung and label after another in hashed order, each with the row that is best by: distance
+    of its query type's count from the type's share of the rung, not starting a new family, repeats of its graph,
+    repeats of its story, tie hash. Counts are of the split and rung, over both labels. A family stays with the split
+    that took it first. A rung and label that runs dry gives fewer rows.
 
-    pool has all rows' share of the query type, and in kind what a row is: row, or the first row left out of a query type
+    pool has how many rows of all have a row's rung and query type (query_rows) and its rung (rung_rows), and in kind what a row is: row, or the first row left out of a query type
     (rest) or of a family in it (family_rest). None if a row left out could be better than the best of the pool.
     """
     strata: dict[tuple, dict[str, list]] = {}
     rest: dict[tuple, str] = {}
-    shares: dict[tuple, float] = {}
+    shares: dict[tuple, tuple[int, int]] = {}
     for row in pool.sort_values("rank_hash").itertuples(index=False):
         key = (row.rung, row.label)
-        shares[(*key, row.query_type)] = row.share
+        shares[(*key, row.query_type)] = (int(row.query_rows), int(row.rung_rows))
         strata.setdefault(key, {}).setdefault(row.query_type, [])
         if row.kind == "row":
             strata[key][row.query_type].append(row)
@@ -49,14 +51,15 @@ def allocate(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame | None:
     owner: dict[str, str] = {}
     taken: set[int] = set()
     rows = []
-    blocks = sorted(((s, r, a) for s in quotas for r, a in strata), key=lambda b: _order("slot", b[0], int(b[1]), b[2]))
+    blocks = sorted(((s, r, a) for s in quotas for r, a in strata), key=lambda b: _order("slot", b[0], int(b[1]), b[2], []))
+    counters: dict[tuple, tuple[Counter, Counter, Counter]] = {}
     for split, rung, label in blocks:
-        queries, graphs, stories = Counter(), Counter(), Counter()
+        queries, graphs, stories = counters.setdefault((split, rung), (Counter(), Counter(), Counter()))
         quota = quotas[split]
         members = strata[(rung, label)]
-        for _ in range(quota):
+        for _ in range(quota // 2):
             best = None
-            away = {q: abs(queries[q] + 1 - shares[(rung, label, q)] * quota) for q in members}
+            away = {q: abs(queries[q] + 1 - shares[(rung, label, q)][0] * quota / shares[(rung, label, q)][1]) for q in members}
             for query in sorted(members, key=away.__getitem__):
                 if best is not None and away[query] > best[0][0]:
                     break
@@ -101,13 +104,18 @@ def _pool(rows: DataFrame, shares: DataFrame, most: int, slots: int, first: int)
     return both.drop("n").join(shares, stratum)
 
 
-def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None, first_rows: int = FIRST_ROWS) -> DataFrame:
+class Infeasible(ValueError):
+    """A split cannot get all its rows."""
+
+
+def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None, first_rows: int = FIRST_ROWS, fewer: bool = False) -> DataFrame:
     """(source_index, split_name, rung, label, query_type, family) of the allocated rows.
 
     Each choice depends on all before it, so one task makes them, over the rows that can be chosen: see _pool. The
     result is that of a choice from all rows. first_rows is only where the search begins: if a row that the task does
     not have could be better, the choice is made again with twice as many. Rows that miss a rung, a YES or NO label,
-    a query type or a family are no candidates; repeated source indexes are one.
+    a query type or a family are no candidates; repeated source indexes are one. If a split cannot get its quota of a
+    rung and label, Infeasible is raised, or with fewer the rows there are come out.
     """
     plain = lambda c: F.lower(collapse(F.col(c)))
     rows = candidates.select("source_index", "rung", plain("answer").alias("label"), plain("query_type").alias("query_type"), plain("family").alias("family"), plain("graph_id").alias("graph_id"), plain("story_id").alias("story_id"))
@@ -116,9 +124,10 @@ def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None
     rows = cut(rows.withColumn("rank_hash", F.sha2(F.concat(F.lit(f'["{SEED}","candidate",'), F.col("source_index").cast("string"), F.lit("]")), 256)))
     wanted = quotas or QUOTAS
     counts = rows.groupBy("rung", "label", "query_type").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("rung", "label").agg(F.sum("n").alias("total"))
-    shares = cut(counts.join(totals, ["rung", "label"]).select("rung", "label", "query_type", (F.col("n") / F.col("total")).alias("share")))
-    slots = max(1, sum(wanted.values()) * totals.count())
+    rung = Window.partitionBy("rung")  # over counts: one row per rung, label and query type
+    shares = cut(counts.select("rung", "label", "query_type", F.sum("n").over(Window.partitionBy("rung", "query_type")).alias("query_rows"), F.sum("n").over(rung).alias("rung_rows")))
+    strata = [(r["rung"], r["label"]) for r in shares.select("rung", "label").distinct().collect()]
+    slots = max(1, sum(wanted.values()) * len(strata))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = allocate(pdf, wanted)
@@ -128,5 +137,11 @@ def split_allocation(candidates: DataFrame, quotas: dict[str, int] | None = None
         pool = _pool(rows, shares, max(wanted.values()), slots, first_rows)
         chosen = cut(pool.groupBy(F.lit(1).alias("all")).applyInPandas(lambda _, pdf: run(pdf.drop(columns="all", errors="ignore")), "source_index bigint, split_name string, rung int, label string, query_type string, family string"))
         if chosen.filter("split_name is null").isEmpty():
-            return chosen
+            break
         first_rows *= 2
+    got = {(r["split_name"], r["rung"], r["label"]): r["n"] for r in chosen.groupBy("split_name", "rung", "label").agg(F.count("*").alias("n")).collect()}
+    rungs = {r for r, _ in strata}
+    short = {(s, r, a): n for s, q in wanted.items() for r in rungs for a in LABELS if (n := got.get((s, r, a), 0)) < q // 2}
+    if short and not fewer:
+        raise Infeasible(f"too few rows for {short}")
+    return chosen

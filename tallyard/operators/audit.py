@@ -103,13 +103,16 @@ def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("redundant", F.col("n") - 1)
 
 
+def _differs(field: str) -> Column:
+    """Whether a group's rows disagree on a field: its smallest and largest value differ, or some but not all are null."""
+    return F.coalesce((F.min(field) != F.max(field)) | ((F.count(field) > 0) & (F.count(field) < F.count("*"))), F.lit(False))
+
+
 def group_consistency(rows: DataFrame, key: str, fields: tuple[str, ...] = CONSISTENT) -> DataFrame:
     """Per key with several rows, whether its rows disagree on each field (null counts as a value), on any, and whether several models use it."""
-    # two different values exist exactly if the smallest and largest differ, or some but not all are null
-    differ = {f: (F.min(f) != F.max(f)) | ((F.count(f) > 0) & (F.count(f) < F.count("*"))) for f in fields}
     grouped = rows.groupBy(key).agg(
         F.count("*").alias("n"),
-        *[F.coalesce(v, F.lit(False)).alias(f"{f}_differs") for f, v in differ.items()],
+        *[_differs(f).alias(f"{f}_differs") for f in fields],
         F.coalesce(F.min("model_id") != F.max("model_id"), F.lit(False)).alias("several_models"),
     )
     some = F.lit(False)
@@ -118,7 +121,14 @@ def group_consistency(rows: DataFrame, key: str, fields: tuple[str, ...] = CONSI
     return grouped.filter("n > 1").withColumn("inconsistent", some)
 
 
-def canonical_members(rows: DataFrame, key: str) -> DataFrame:
-    """(key, source_index, n): the row with the smallest numeric question id, then the smallest index, for each key."""
+def canonical_members(rows: DataFrame, key: str, fields: tuple[str, ...] = CONSISTENT) -> DataFrame:
+    """(key, source_index, n): the row with the smallest numeric question id, then the smallest index, for each key.
+
+    A key whose rows disagree on one of the fields has no canonical row and is left out, all its rows with it; the
+    quarantine is decided in the same aggregate.
+    """
     order = F.struct(F.coalesce(F.expr("try_cast(question_id as bigint)"), F.lit((1 << 63) - 1)).alias("q"), F.col("source_index").alias("i"))
-    return rows.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("n")).select(key, F.col("first.i").alias("source_index"), "n")
+    found = rows.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("n"), *[_differs(f).alias(f"_{i}") for i, f in enumerate(fields)])
+    for i in range(len(fields)):
+        found = found.filter(~F.col(f"_{i}"))
+    return found.select(key, F.col("first.i").alias("source_index"), "n")

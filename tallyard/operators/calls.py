@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The steps of each method, (config, position, role, upstream positions).
@@ -14,11 +14,13 @@ PLAN = (
     ("C3_COUNCIL_V1", 1, "critic", (0,)),
     ("C3_COUNCIL_V1", 2, "adjudicator", (0, 1)),
     ("C5_COUNCIL_V1", 0, "analyst", ()),
-    ("C5_COUNCIL_V1", 1, "graph_identification_critic", (0,)),
-    ("C5_COUNCIL_V1", 2, "semantic_query_critic", (0,)),
+    ("C5_COUNCIL_V1", 1, "semantic_query_critic", (0,)),
+    ("C5_COUNCIL_V1", 2, "graph_identification_critic", (0,)),
     ("C5_COUNCIL_V1", 3, "formal_numerical_critic", (0,)),
     ("C5_COUNCIL_V1", 4, "adjudicator", (0, 1, 2, 3)),
 )
+# Fixed value: the revision that enters every call id.
+REVISION = "cross_split_execution_r6"
 VOTES = ("A3_SINGLE_V1", "A5_SINGLE_V1")
 
 
@@ -27,16 +29,30 @@ def plan_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, p, r, list(u)) for c, p, r, u in PLAN], "config_id string, position int, role string, upstream array<int>")
 
 
-def expand_calls(items: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per item and step of the plan, with a stable call id. The plan is a fixed list, so it is an explode, not a join of two tables."""
+def call_id(split: Column, config: Column, item: Column, position: Column, revision: str = REVISION) -> Column:
+    """32 hex digits that name one step of one item's method in one split and revision."""
+    return F.substring(F.sha2(F.concat_ws(":", F.lit("call-v2"), F.lit(revision), split, config, item, position.cast("string")), 256), 1, 32)
+
+
+def expand_calls(items: DataFrame, plan: DataFrame, split: str = "locked_test", revision: str = REVISION) -> DataFrame:
+    """One row per item, split and step of the plan, with a stable call id.
+
+    The split is the items' column split_name if they have one, else split. The plan is a fixed list, so it is an
+    explode, not a join of two tables.
+    """
     steps = F.broadcast(plan.groupBy().agg(F.collect_list(F.struct("config_id", "position", "role", "upstream")).alias("steps")))
-    rows = items.select("item_id").distinct().join(steps, how="left").select("item_id", F.explode("steps").alias("s")).select("item_id", "s.*")
-    return rows.withColumn("planned_id", F.substring(F.sha2(F.concat_ws(":", F.lit("call-v2"), "item_id", "config_id", F.col("position").cast("string")), 256), 1, 32))
+    named = items if "split_name" in items.columns else items.withColumn("split_name", F.lit(split))
+    rows = named.select("item_id", "split_name").distinct().join(steps, how="left").select("item_id", "split_name", F.explode("steps").alias("s")).select("item_id", "split_name", "s.*")
+    return rows.withColumn("planned_id", call_id(F.col("split_name"), F.col("config_id"), F.col("item_id"), F.col("position"), revision))
+
+
+CALL = ("attempt_index", "status", "run_id", "item_id", "config_id", "role", "topology_position", "provider", "parsed_answer", "failure_type")
 
 
-def latest_calls(calls: DataFrame) -> DataFrame:
-    """One row per call id: of rows delivered twice the one with the most attempts."""
-    return calls.groupBy("call_id").agg(F.max(F.struct("attempt_index", "status", "run_id", "item_id", "config_id", "role", "topology_position", "provider", "parsed_answer", "failure_type", "raw_output")).alias("c")).select("call_id", "c.*")
+def latest_calls(calls: DataFrame, columns: tuple[str, ...] = CALL) -> DataFrame:
+    """One row per call id with the columns: of rows delivered twice the one with the most attempts, ties told apart by the columns' values."""
+    rest = [c for c in columns if c != "attempt_index"]
+    return calls.groupBy("call_id").agg(F.max(F.struct("attempt_index", *rest)).alias("c")).select("call_id", *[F.col(f"c.{c}").alias(c) for c in columns])
 
 
 def upstream_answers(calls: DataFrame, plan: DataFrame) -> DataFrame:

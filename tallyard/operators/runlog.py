@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.functions.text import blank
+from tallyard.operators.calls import PLAN
 from tallyard.runtime import ratio
 
+#: The role of each position of each method that an attempt may have: the plan's, and the boundary method's single one.
+ROLES = {(c, p): r for c, p, r, _ in (*PLAN, ("C1_BOUNDARY_V1", 0, "analyst", ()))}
+
 ATTEMPT = ("call_id", "attempt_index")
 
 
@@ -106,32 +113,88 @@ def usage_totals(calls: DataFrame, by: str = "config_id") -> DataFrame:
 def distribution(rows: DataFrame, by: str, measure: str) -> DataFrame:
     """Per group: n, mean, sample deviation, quartiles (interpolated) and range of a measure; nulls do not count."""
     m = F.col(measure)
-    q = lambda p: F.round(F.percentile(m, p), 6)
-    return rows.groupBy(by).agg(
-        F.count(m).alias("n"), F.round(F.avg(m), 6).alias("mean"), F.round(F.stddev_samp(m), 6).alias("sd"), F.min(m).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(m).alias("high"),
-        (q(0.75) - q(0.25)).alias("iqr"),
-    )
-
-
-def token_violations(attempts: DataFrame) -> DataFrame:
-    """(call_id, attempt_index, violations): the broken rules of each attempt that breaks any, in a fixed order."""
-    rules = {
-        "token_sum": F.coalesce(F.col("total_tokens") != F.col("input_tokens") + F.col("output_tokens"), F.lit(False)),
-        "negative": F.coalesce(F.least("input_tokens", "output_tokens", "total_tokens") < 0, F.lit(False)) | F.coalesce(F.col("latency_ms") < 0, F.lit(False)),
-        "offset": F.coalesce(utc_state(F.col("timestamp_utc")) != "ok", F.lit(True)),
-        "role": ~role_fits(),
-        "attempt": (F.col("attempt_index") < 0) | (F.col("attempt_index") > 3),
+    per = rows.groupBy(by).agg(F.count(m).alias("n"), F.round(F.avg(m), 6).alias("mean"), F.round(F.stddev_samp(m), 6).alias("sd"), F.min(m).alias("low"), F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(m).alias("high"))
+    q = lambda i: F.round(F.col("q")[i], 6)
+    return per.select(by, "n", "mean", "sd", "low", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "high", (q(2) - q(0)).alias("iqr"))
+
+
+# Statuses that an attempt may have.
+STATUSES = ("success", "failure", "method_failure", "run_blocked", "data_validation_failure", "incomplete")
+# Fields of an attempt that must not be blank.
+NAMED = ("run_id", "item_id", "split_name", "model_id", "provider", "prompt_version", "call_id", "code_version")
+
+
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """The names of the rules whose condition holds, in order, joined by commas; an unknown condition does not count."""
+    return F.array_join(F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()])), ",")
+
+
+def event_rules() -> dict[str, Column]:
+    """What is wrong with an attempt, by rule: conditions over the columns of an event record."""
+    steps = F.try_element_at(F.create_map(*[F.lit(x) for c, n in Counter(c for c, _ in ROLES).items() for x in (c, n)]), F.col("config_id"))
+    roles = F.create_map(*[F.lit(x) for (c, p), r in ROLES.items() for x in (f"{c}:{p}", r)])
+    role = F.try_element_at(roles, F.concat_ws(":", "config_id", F.col("topology_position").cast("string")))
+    absent = F.lit(False)
+    for field in NAMED:
+        absent = absent | blank(F.col(field))
+    negative = F.lit(False)
+    for field in ("input_tokens", "output_tokens", "total_tokens"):
+        negative = negative | F.coalesce(F.col(field) < 0, F.lit(False))
+    both = F.col("input_tokens") + F.col("output_tokens")
+    outside = lambda c, low, high: c.isNull() | (c < low) | (c >= high)
+    return {
+        "blank_name": absent,
+        "config": steps.isNull(),
+        "parsed_answer": F.coalesce(~F.col("parsed_answer").isin("YES", "NO", "INVALID"), F.lit(True)),
+        "final_answer": ~F.col("final_answer").isin("YES", "NO"),
+        "attempt_index": outside(F.col("attempt_index"), 0, 4),
+        "position": steps.isNotNull() & outside(F.col("topology_position"), F.lit(0), steps),
+        "role": role.isNotNull() & ~role.eqNullSafe(F.col("role_name")),
+        "status": F.coalesce(~F.col("status").isin(*STATUSES), F.lit(True)),
+        "latency": F.col("latency_ms") < 0,
+        "tokens": negative,
+        "token_sum": both.isNotNull() & ~both.eqNullSafe(F.col("total_tokens")),
+        "cost": F.col("estimated_cost_usd") < 0,
+        "backoff": F.col("backoff_seconds").isNull() | (F.col("backoff_seconds") < 0),
+        "timestamp": F.coalesce(F.try_to_timestamp("timestamp_utc").isNull(), F.lit(True)),
+        "offset": utc_state(F.col("timestamp_utc")) == "wrong_offset",
+        "raw_output": F.col("raw_output").isNull() & (F.col("status") == "success"),
+        "failure_type": F.col("failure_type").isNull() & (F.col("parsed_answer") == "INVALID"),
+    }
+
+
+def event_violations(events: DataFrame) -> DataFrame:
+    """(call_id, attempt_index, violations) of the attempts that break a rule of event_rules in their latest delivery.
+
+    Rules are judged before deliveries are brought together, so texts are not shuffled.
+    """
+    judged = events.select(*ATTEMPT, "ingested_at", broken_rules(event_rules()).alias("violations"))
+    return latest_attempts(judged, ["violations"]).filter("violations <> ''")
+
+
+def usage_rules() -> dict[str, Column]:
+    """What is wrong with a call's token counts, by rule; unknown counts break none."""
+    counts = ("input_tokens", "output_tokens", "reasoning_tokens", "cached_input_tokens")
+    negative = F.lit(False)
+    for field in counts:
+        negative = negative | F.coalesce(F.col(field) < 0, F.lit(False))
+    return {
+        "negative": negative,
+        "method": blank(F.col("token_accounting_method")),
+        "reasoning_over_output": F.col("reasoning_tokens") > F.col("output_tokens"),
+        "cached_over_input": F.col("cached_input_tokens") > F.col("input_tokens"),
     }
-    broken = F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))
-    return attempts.withColumn("violations", F.array_join(broken, ",")).filter("violations <> ''").select(*ATTEMPT, "violations")
 
 
-def role_fits():
-    """Whether role_name is the role that the method's plan has at topology_position."""
-    from tallyard.operators.calls import PLAN
+def usage_violations(calls: DataFrame) -> DataFrame:
+    """(call_id, violations) of the calls whose usage breaks a rule of usage_rules; calls are one row each."""
+    return calls.select("call_id", broken_rules(usage_rules()).alias("violations")).filter("violations <> ''")
+
 
-    known = F.create_map(*[F.lit(x) for c, p, r, _ in PLAN for x in (f"{c}:{p}", r)])
-    return F.coalesce(F.try_element_at(known, F.concat_ws(":", "config_id", F.col("topology_position").cast("string"))) == F.col("role_name"), F.lit(False))
+def attempt_counts(attempts: DataFrame, per_call: int = 4) -> DataFrame:
+    """(run_id, calls, attempts, ceiling, over): attempts of each run against per_call attempts for each of its calls."""
+    per = attempts.groupBy("run_id").agg(F.count_distinct("call_id").alias("calls"), F.count("*").alias("attempts")).withColumn("ceiling", F.col("calls") * per_call)
+    return per.withColumn("over", F.col("attempts") > F.col("ceiling"))
 
 
 def rate_windows(attempts: DataFrame, length: str = "1 minute") -> DataFrame:

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from tallyard.functions.text import blank, sha256
 
 LABEL_FREE = ("item_id", "background", "given_info", "question")
-# Keys that carry gold labels, keys that carry secrets, beginnings of secret-shaped tokens, placeholder marks.
-GOLD_KEYS = ("answer", "label", "groundtruth", "gold", "rung", "query_type", "graph_id", "story_id", "question_id", "split_name")
-SECRET_KEYS = ("api_key", "authorization", "secret", "token", "password", "access_token", "bearer", "credential")
-SECRET_TOKEN = r"(sk-|gsk_|nvapi-|AIza|ghp_)[A-Za-z0-9_-]{8,}"
-PLACEHOLDERS = r"\b(TODO|TBD|REPLACE_ME|PLACEHOLDER|CHANGEME|XXX)\b"
+# Fields that an item for inference must not have.
+FORBIDDEN = (
+    "answer", "label", "reasoning", "rung", "groundtruth", "ground_truth", "query_type", "graph_id", "story_id", "model_id", "question_id",
+    "split", "split_name", "split_membership", "family", "protected_family", "prompt_hash", "source_index",
+)
+# Keys that give a label away in a prompt.
+GOLD_KEYS = ("answer", "groundtruth", "query_type", "graph_id", "story_id", "model_id", "question_id", "split_name", "protected_family", "source_index", "prompt_hash")
+# Keys that carry secrets.
+SECRET_KEYS = ("api_key", "api_token", "authorization", "access_token", "secret", "credential", "password", "bearer")
+# Forms of secret tokens.
+SECRET_TOKEN = r"sk-or-v1-[A-Za-z0-9_-]{16,}|gsk_[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,}"
+# Marks of something still to be filled in, in any place of a text.
+PLACEHOLDERS = ("PLACEHOLDER", "PENDING", "TO_BE_FROZEN")
+# Parts of keys that tell of scoring.
+METRIC_MARKS = ("accuracy", "correct", "gold", "label", "score")
 
 
 def label_free(items: DataFrame) -> DataFrame:
@@ -43,17 +53,22 @@ def view_checksum(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"))
 
 
-def schema_violations(rows: DataFrame, key: str, json: str, allowed: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """(key, unknown, missing, readable) of the JSON objects that hold unknown keys, lack required ones or cannot be read."""
+def schema_violations(rows: DataFrame, key: str, json: str, allowed: tuple[str, ...], required: tuple[str, ...], forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
+    """(key, forbidden, unknown, missing, readable) of the JSON objects that hold forbidden or other unknown keys, lack required ones or cannot be read.
+
+    A forbidden key is unknown as well unless it is allowed. The sets are sorted and joined by commas.
+    """
     keys = F.json_object_keys(F.col(json))
-    named = lambda c: F.array(*[F.lit(x) for x in c])
+    named = lambda c: F.array(*[F.lit(x) for x in c]).cast("array<string>")
+    listed = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     made = rows.select(
         key,
-        F.coalesce(F.array_join(F.array_sort(F.array_except(keys, named(allowed))), ","), F.lit("")).alias("unknown"),
-        F.coalesce(F.array_join(F.array_sort(F.array_except(named(required), keys)), ","), F.lit("")).alias("missing"),
+        listed(F.array_intersect(keys, named(forbidden))).alias("forbidden"),
+        listed(F.array_except(keys, named(allowed))).alias("unknown"),
+        listed(F.array_except(named(required), keys)).alias("missing"),
         keys.isNotNull().alias("readable"),
     )
-    return made.filter("unknown <> '' or missing <> '' or not readable")
+    return made.filter("forbidden <> '' or unknown <> '' or missing <> '' or not readable")
 
 
 def json_keys_at_any_depth(json: Column) -> Column:
@@ -66,14 +81,20 @@ def secret_keys(json: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(F.array_intersect(json_keys_at_any_depth(json), F.array(*[F.lit(k) for k in SECRET_KEYS]))), ","), F.lit(""))
 
 
+def metric_keys(json: Column) -> Column:
+    """The keys of a JSON text, at any depth, that tell of scoring, sorted and joined; empty if none."""
+    told = F.filter(json_keys_at_any_depth(json), lambda k: k.rlike("|".join(METRIC_MARKS)))
+    return F.coalesce(F.array_join(F.array_sort(told), ","), F.lit(""))
+
+
 def leaks_label(text: Column) -> Column:
-    """Whether a text has a gold key followed by a colon or equals sign, or a secret-shaped token."""
-    return F.coalesce(text.rlike(r"(?i)\b(" + "|".join(GOLD_KEYS) + r")\s*[:=]") | text.rlike(SECRET_TOKEN), F.lit(False))
+    """Whether a text has a gold key followed by a colon or equals sign, or a secret token."""
+    return F.coalesce(text.rlike(r"(?i)\b(" + "|".join(GOLD_KEYS) + r")\b\s*[:=]") | text.rlike(SECRET_TOKEN), F.lit(False))
 
 
 def has_placeholder(text: Column) -> Column:
     """Whether a text holds a mark that something is still to be filled in."""
-    return F.coalesce(F.upper(text).rlike(PLACEHOLDERS), F.lit(False))
+    return F.coalesce(F.upper(text).rlike("|".join(PLACEHOLDERS)), F.lit(False))
 
 
 def overlap_between(rows: DataFrame, split: str, keys: tuple[str, ...]) -> DataFrame:

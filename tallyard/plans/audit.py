@@ -149,6 +149,8 @@ def _quality_sql() -> str:
 
 
 _DIFFERS = "coalesce(min({0}) <> max({0}) OR (count({0}) > 0 AND count({0}) < count(*)), FALSE)"
+# a group of equal prompts has one value, or none at all, of each of these, else it is quarantined
+_AGREE = " AND ".join(f"count(DISTINCT {c}) + CAST(count({c}) < count(*) AS INT) <= 1" for c in ("answer", "rung", "query_type", "graph_id", "story_id"))
 
 ORACLES = {
     "normalize_hash": KEYED + " SELECT source_index, prompt_hash, question_hash FROM keyed",
@@ -172,9 +174,9 @@ ORACLES = {
     + ", coalesce(min(model_id) <> max(model_id), FALSE) AS several_models FROM keyed GROUP BY 1 HAVING count(*) > 1) SELECT *, "
     + " OR ".join(f"{f}_differs" for f in audit.CONSISTENT)
     + " AS inconsistent FROM g",
-    "canonical_items": KEYED + " SELECT prompt_hash, first(source_index ORDER BY question_id NULLS LAST, source_index) AS source_index, count(*) AS n FROM keyed GROUP BY 1",
+    "canonical_items": KEYED + f" SELECT prompt_hash, first(source_index ORDER BY question_id NULLS LAST, source_index) AS source_index, count(*) AS n FROM keyed GROUP BY 1 HAVING {_AGREE}",
     "canonical_pool": KEYED
-    + f", c AS (SELECT first(source_index ORDER BY question_id NULLS LAST, source_index) AS source_index FROM keyed GROUP BY prompt_hash) SELECT rung, lower(trim(regexp_replace(answer, '{WS_SQL}+', ' ', 'g'))) AS label, count(*) AS n FROM keyed SEMI JOIN c USING (source_index) GROUP BY ALL",
+    + f", c AS (SELECT first(source_index ORDER BY question_id NULLS LAST, source_index) AS source_index FROM keyed GROUP BY prompt_hash HAVING {_AGREE}) SELECT rung, lower(trim(regexp_replace(answer, '{WS_SQL}+', ' ', 'g'))) AS label, count(*) AS n FROM keyed SEMI JOIN c USING (source_index) GROUP BY ALL",
     "background_join": KEYED + " SELECT background_state, count(*) AS n FROM keyed GROUP BY 1",
     "missing_models": FLAT + " SELECT model_id, count(*) AS items FROM flat WHERE model_id IS NOT NULL AND model_id NOT IN (SELECT model_id FROM causal_models WHERE model_id IS NOT NULL) GROUP BY 1",
     "protected_families": _FAMILY + " SELECT source_index, root, sha256('family-v1:' || root) AS family FROM fam",

@@ -15,7 +15,8 @@ def stable_rank_order(spark, sf_dir):
 
 
 def split_allocation(spark, sf_dir):
-    return allocation.split_allocation(load(spark, sf_dir, "candidates"))
+    """The fixed quotas; where a table is too small for them, the rows there are."""
+    return allocation.split_allocation(load(spark, sf_dir, "candidates"), fewer=True)
 
 
 def allocation_overlap(spark, sf_dir):
@@ -60,7 +61,15 @@ def canary_per_stratum(spark, sf_dir):
 
 
 def closed_schema_violations(spark, sf_dir):
-    return views.schema_violations(load(spark, sf_dir, "events"), "event_id", "props", ("k",), ("k",))
+    """Replies that are no JSON object with the one key answer, with the keys that are wrong."""
+    named = load(spark, sf_dir, "event_records").select(F.concat_ws("/", "call_id", F.col("attempt_index").cast("string")).alias("attempt_key"), "raw_output")
+    return views.schema_violations(named, "attempt_key", "raw_output", ("answer",), ("answer",)).distinct()
+
+
+def metric_key_scan(spark, sf_dir):
+    """How many distinct replies have which keys that tell of scoring."""
+    scanned = load(spark, sf_dir, "event_records").select("raw_output").distinct().withColumn("keys", views.metric_keys(F.col("raw_output")))
+    return scanned.groupBy("keys").agg(F.count("*").alias("n"))
 
 
 def secret_key_scan(spark, sf_dir):
@@ -88,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stable_rank_order, split_allocation, allocation_overlap, split_quota_check, split_overlap_check, label_free_view, repeated_items, view_checksum, opaque_ids,
-        canary_per_stratum, closed_schema_violations, secret_key_scan, leakage_scan, placeholder_scan, sealed_members,
+        canary_per_stratum, closed_schema_violations, metric_key_scan, secret_key_scan, leakage_scan, placeholder_scan, sealed_members,
     )
 }
 
@@ -113,13 +122,19 @@ ORACLES = {
     "view_checksum": f"WITH v AS ({_VIEW}) SELECT count(*) AS rows, CAST(CAST(sum(CAST(('0x' || substring(sha256('{{\"item_id\":\"' || item_id || '\"}}'), 1, 15)) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS checksum FROM v",
     "opaque_ids": KEYED + " SELECT source_index, substring(sha256('tallyard-view-v1:' || prompt_hash || ':' || source_index), 1, 24) AS opaque_id FROM keyed",
     "canary_per_stratum": "SELECT rung, min(prompt_hash) AS prompt_hash FROM candidates WHERE rung IS NOT NULL GROUP BY 1",
-    "closed_schema_violations": """WITH k AS (SELECT event_id, CASE WHEN json_valid(props) THEN json_keys(props) END AS ks FROM events),
-      v AS (SELECT event_id, coalesce(array_to_string(list_sort(list_filter(ks, lambda x: x <> 'k')), ','), '') AS unknown, CASE WHEN ks IS NOT NULL AND NOT list_contains(ks, 'k') THEN 'k' ELSE '' END AS missing, ks IS NOT NULL AS readable FROM k)
-      SELECT * FROM v WHERE unknown <> '' OR missing <> '' OR NOT readable""",
+    "closed_schema_violations": """WITH k AS (SELECT call_id || '/' || attempt_index AS attempt_key, CASE WHEN json_valid(raw_output) AND json_type(raw_output) = 'OBJECT' THEN json_keys(raw_output) END AS ks FROM event_records),
+      v AS (SELECT attempt_key, coalesce(array_to_string(list_sort(list_filter(ks, lambda x: list_contains(['answer', 'label', 'reasoning', 'rung', 'groundtruth', 'ground_truth', 'query_type', 'graph_id', 'story_id', 'model_id', 'question_id',
+        'split', 'split_name', 'split_membership', 'family', 'protected_family', 'prompt_hash', 'source_index'], x))), ','), '') AS forbidden,
+        coalesce(array_to_string(list_sort(list_filter(ks, lambda x: x <> 'answer')), ','), '') AS unknown, CASE WHEN ks IS NOT NULL AND NOT list_contains(ks, 'answer') THEN 'answer' ELSE '' END AS missing, ks IS NOT NULL AS readable FROM k)
+      SELECT DISTINCT * FROM v WHERE forbidden <> '' OR unknown <> '' OR missing <> '' OR NOT readable""",
+    "metric_key_scan": "WITH r AS (SELECT DISTINCT raw_output FROM event_records), k AS (SELECT coalesce(array_to_string(list_sort(list_filter("
+    + _KEYS_SQL
+    + ", lambda x: contains(x, 'accuracy') OR contains(x, 'correct') OR contains(x, 'gold') OR contains(x, 'label') OR contains(x, 'score'))), ','), '') AS keys FROM r) SELECT keys, count(*) AS n FROM k GROUP BY 1",
     "secret_key_scan": "WITH r AS (SELECT DISTINCT raw_output FROM event_records), k AS (SELECT coalesce(array_to_string(list_sort(list_filter("
     + _KEYS_SQL
-    + f", lambda x: list_contains({list(views.SECRET_KEYS)}, x))), ','), '') AS keys FROM r) SELECT keys, count(*) AS n FROM k GROUP BY 1",
-    "leakage_scan": f"SELECT doc_id FROM documents WHERE coalesce(regexp_matches(text, '(?i)\\b({'|'.join(views.GOLD_KEYS)})\\s*[:=]') OR regexp_matches(text, '{views.SECRET_TOKEN}'), FALSE)",
-    "placeholder_scan": f"SELECT doc_id FROM documents WHERE regexp_matches(upper(text), '{views.PLACEHOLDERS}')",
+    + f", lambda x: list_contains(['api_key', 'api_token', 'authorization', 'access_token', 'secret', 'credential', 'password', 'bearer'], x))), ','), '') AS keys FROM r) SELECT keys, count(*) AS n FROM k GROUP BY 1",
+    "leakage_scan": r"""SELECT doc_id FROM documents WHERE coalesce(regexp_matches(text, '(?i)\b(answer|groundtruth|query_type|graph_id|story_id|model_id|question_id|split_name|protected_family|source_index|prompt_hash)\b\s*[:=]')
+      OR regexp_matches(text, 'sk-or-v1-[A-Za-z0-9_-]{16,}') OR regexp_matches(text, 'gsk_[A-Za-z0-9_-]{16,}') OR regexp_matches(text, 'AIza[A-Za-z0-9_-]{20,}'), FALSE)""",
+    "placeholder_scan": "SELECT doc_id FROM documents WHERE contains(upper(text), 'PLACEHOLDER') OR contains(upper(text), 'PENDING') OR contains(upper(text), 'TO_BE_FROZEN')",
     "sealed_members": KEYED + ", mine AS (SELECT DISTINCT source_index, prompt_hash FROM candidates) SELECT coalesce(k.prompt_hash = m.prompt_hash, FALSE) AS equal, count(*) AS n FROM mine m LEFT JOIN keyed k USING (source_index) GROUP BY 1",
 }

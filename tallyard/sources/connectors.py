@@ -11,9 +11,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Headers that may be kept and the form of their values.
-SAFE_HEADERS = ("x-request-id", "retry-after", "x-ratelimit-limit-requests", "x-ratelimit-remaining-requests", "x-ratelimit-reset-requests", "content-type", "date")
-SAFE_VALUE = r"^[\w .,:;/=+-]{1,200}$"
+# Headers that may be kept, and the form of their values.
+SAFE_HEADERS = (
+    "retry-after", "ratelimit-limit", "ratelimit-remaining", "ratelimit-reset", "x-ratelimit-limit-requests", "x-ratelimit-limit-tokens",
+    "x-ratelimit-remaining-requests", "x-ratelimit-remaining-tokens", "x-ratelimit-reset-requests", "x-ratelimit-reset-tokens",
+)
+SAFE_VALUE = r"[A-Za-z0-9 .,:+/_-]{1,256}"
+# The form of an error field that may be kept, and beginnings of secrets.
+SAFE_FIELD = r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}"
+SECRET_BEGINNINGS = ("sk-", "gsk_", "nvapi-", "AIza")
+MAX_ERROR_BYTES = 131_072
+# Failures by a provider's error code, by HTTP status, and by a range of statuses.
+CODE_FAILURES = {
+    "insufficient_quota": "configuration/quota_exhaustion",
+    "quota_exceeded": "configuration/quota_exhaustion",
+    "billing_hard_limit_reached": "configuration/quota_exhaustion",
+    "model_not_found": "configuration/nonexistent_model",
+    "unknown_model": "configuration/nonexistent_model",
+}
+STATUS_FAILURES = {
+    400: "configuration/malformed_request",
+    401: "configuration/authentication",
+    402: "configuration/quota_exhaustion",
+    403: "configuration/authentication",
+    404: "configuration/nonexistent_model",
+    405: "configuration/malformed_request",
+    408: "transport/timeout",
+    409: "configuration/malformed_request",
+    415: "configuration/malformed_request",
+    422: "configuration/malformed_request",
+    429: "provider/http_429",
+    504: "transport/timeout",
+}
+SERVER_FAILURE, OTHER_FAILURE = "provider/http_5xx", "provider/http_error"
 RESPONSE = "call_id string, attempt_index int, status string, http_status int, raw_output string, finish_reason string, input_tokens bigint, output_tokens bigint, error string"
 
 
@@ -69,21 +99,16 @@ def call_models(requests: DataFrame, factory: str = "tallyard.sources.connectors
     return requests.mapInPandas(run, RESPONSE)
 
 
+def _table(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def failure_class(http_status: Column, provider_code: Column) -> Column:
-    """The kind of a failed response; a provider's code goes before the status."""
-    code = F.lower(provider_code)
-    return (
-        F.when(code.isin("insufficient_quota", "quota_exceeded"), "quota_exhaustion")
-        .when(code.isin("model_not_found", "unknown_model"), "nonexistent_model")
-        .when(http_status.isin(401, 403), "authentication")
-        .when(http_status == 404, "nonexistent_model")
-        .when(http_status == 402, "quota_exhaustion")
-        .when(http_status.isin(400, 405, 409, 415, 422), "malformed_request")
-        .when(http_status.isin(408, 504), "timeout")
-        .when(http_status == 429, "http_429")
-        .when(http_status >= 500, "http_5xx")
-        .when(http_status.isNotNull(), "http_error")
-    )
+    """The kind of a failed response, looked up by the provider's code (in any case) and else by its status; null without a status."""
+    by_code = F.try_element_at(_table(CODE_FAILURES), F.lower(provider_code))
+    by_status = F.try_element_at(_table(STATUS_FAILURES), http_status.cast("int"))
+    known = F.coalesce(by_code, by_status, F.when(F.floor(http_status / 100) == 5, SERVER_FAILURE), F.lit(OTHER_FAILURE))
+    return F.when(http_status.isNotNull() | by_code.isNotNull(), known)
 
 
 def retry_after_seconds(value: Column, now: Column) -> Column:
@@ -96,13 +121,21 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
 
 
 def safe_headers(headers: Column) -> Column:
-    """The headers that are on the list and whose values are harmless, names lower-cased."""
-    kept = F.map_filter(headers, lambda k, v: F.lower(k).isin(*SAFE_HEADERS) & v.rlike(SAFE_VALUE))
+    """The headers that are on the list and whose values have the safe form, names lower-cased."""
+    kept = F.map_filter(headers, lambda k, v: F.lower(k).isin(*SAFE_HEADERS) & v.rlike(rf"\A{SAFE_VALUE}\z"))
     return F.transform_keys(kept, lambda k, _: F.lower(k))
 
 
 def error_fields(body: Column) -> Column:
-    """struct(code, type, param) of an error body; values that look like secrets are dropped."""
-    error = F.from_json(body, "error struct<code: string, type: string, param: string>")["error"]
-    clean = lambda c: F.when(~c.rlike(r"^(sk-|gsk_|nvapi-|AIza)") & (F.length(c) <= 120), c)
-    return F.struct(clean(error["code"]).alias("code"), clean(error["type"]).alias("type"), clean(error["param"]).alias("param"))
+    """struct(code, type, param) of an error body: of its error object, or of the first of its errors.
+
+    A status stands in for a missing code or type. Values that are no short plain word or look like a secret are
+    null, as all are for a body that is too long or no such object.
+    """
+    field = "struct<code: string, type: string, param: string, status: string>"
+    short = F.when(F.octet_length(body) <= MAX_ERROR_BYTES, body)
+    read = F.from_json(short, f"error {field}, errors array<{field}>")
+    error = F.coalesce(read["error"], F.try_element_at(read["errors"], F.lit(1)))
+    clean = lambda c: F.when(c.rlike(rf"\A{SAFE_FIELD}\z") & ~c.rlike("^(" + "|".join(SECRET_BEGINNINGS) + ")"), c)
+    filled = lambda c: F.coalesce(F.nullif(error[c], F.lit("")), error["status"])
+    return F.struct(clean(filled("code")).alias("code"), clean(filled("type")).alias("type"), clean(error["param"]).alias("param"))

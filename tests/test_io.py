@@ -123,15 +123,21 @@ def test_model_calls(spark):
 
 
 def test_http_expressions(spark):
-    df = spark.createDataFrame([(400, None), (401, None), (404, None), (429, None), (500, None), (504, None), (429, "insufficient_quota"), (500, "model_not_found"), (None, None)], "s int, c string")
-    assert [r[0] for r in df.select(connectors.failure_class(F.col("s"), F.col("c"))).collect()] == ["malformed_request", "authentication", "nonexistent_model", "http_429", "http_5xx", "timeout", "quota_exhaustion", "nonexistent_model", None]
+    meant = {
+        (402, None): "configuration/quota_exhaustion", (403, "x"): "configuration/authentication", (404, None): "configuration/nonexistent_model", (422, None): "configuration/malformed_request",
+        (429, "BILLING_hard_limit_reached"): "configuration/quota_exhaustion", (503, "unknown_model"): "configuration/nonexistent_model", (408, None): "transport/timeout", (429, None): "provider/http_429",
+        (599, None): "provider/http_5xx", (600, None): "provider/http_error", (418, None): "provider/http_error", (302, None): "provider/http_error",
+    }
+    df = spark.createDataFrame(list(meant), "s int, c string")
+    assert [r[0] for r in df.select(connectors.failure_class(F.col("s"), F.col("c"))).collect()] == list(meant.values())
+    assert df.limit(1).select(connectors.failure_class(F.lit(None).cast("int"), F.lit(None).cast("string"))).head()[0] is None
     waits = spark.createDataFrame([("2.5",), ("-3",), ("Thu, 01 Jan 2026 00:00:10 GMT",), ("soon",), (None,)], "v string")
     now = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
     assert [r[0] for r in waits.select(connectors.retry_after_seconds(F.col("v"), now)).collect()] == [2.5, 0.0, 10.0, None, None]
-    heads = spark.createDataFrame([({"X-Request-Id": "a1", "Authorization": "x", "Date": "<b>"},)], "h map<string,string>")
-    assert heads.select(connectors.safe_headers(F.col("h"))).head()[0] == {"x-request-id": "a1"}
-    body = spark.createDataFrame([('{"error": {"code": "c", "type": "sk-12345", "param": null}}',), ("no",)], "b string")
-    assert [tuple(r[0]) for r in body.select(connectors.error_fields(F.col("b"))).collect()] == [("c", None, None), (None, None, None)]
+    heads = spark.createDataFrame([({"X-RateLimit-Limit-Tokens": "6000", "Authorization": "x", "Retry-After": "<b>", "ratelimit-reset": "4s\n", "Date": "now"},)], "h map<string,string>")
+    assert heads.select(connectors.safe_headers(F.col("h"))).head()[0] == {"x-ratelimit-limit-tokens": "6000"}
+    body = spark.createDataFrame([('{"error": {"code": 17, "type": "sk-12345", "param": null}}',), ("no",), ('{"errors": [{"status": "DENIED", "param": "a b"}]}',), ('{"error": {"code": "' + "x" * 140000 + '"}}',)], "b string")
+    assert [tuple(r[0]) for r in body.select(connectors.error_fields(F.col("b"))).collect()] == [("17", None, None), (None, None, None), ("DENIED", "DENIED", None), (None, None, None)]
 
 
 def attempt(call, i, status, minute, tokens=1):
