@@ -65,6 +65,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"record_id_a": "item_id_a", "record_id_b": "item_id_b"})
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its class of equal words, that class's links and the group that small edits connect."""
+    return near_duplicates.NearDuplicates(load(spark, sf_dir, "label_free_items")).groups().withColumnRenamed("record_id", "item_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return token_ids.encode_corpus(load(spark, sf_dir, "documents"))
@@ -90,7 +95,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redacted(load(spark, sf_dir, "documents"), load(spark, sf_dir, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p4_shares, p5_found, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_sample, p3_found, p3_ledger, p4_found, p4_splits, p4_shares, p5_found, p5_groups, p6_ids, p7_found, p7_alignments, p8_found, p8_redacted)}
 
 _WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RELATED = " UNION ALL ".join(

@@ -260,8 +260,11 @@ def near_data(seed=3, n=60):
     return data + [("n1", None, None, None), ("n2", None, "", "…"), (None, None, "x", "y"), data[0], ("long", None, "alpha " * 20_000, "beta"), ("long2", None, "alpha " * 20_000, "beta gamma")]
 
 
-@pytest.mark.parametrize(("group", "blocked"), [(2000, 40_000), (2, 40_000), (2, 3)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, group, blocked):
+@pytest.mark.parametrize(("group", "blocked", "small"), [(2000, 40_000, 32), (2, 40_000, 1), (2, 3, 1)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, group, blocked, small):
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+    monkeypatch.setattr(near_duplicates, "SMALL_GROUP", small)
+    monkeypatch.setattr(near_duplicates, "CHUNK_ROWS", 50 * small)
     monkeypatch.setattr(near_duplicates, "GROUP_ROWS", group)
     monkeypatch.setattr(near_duplicates, "BLOCKED_ROWS", blocked)
     data = near_data()
@@ -275,6 +278,29 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, group, blocked)
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_groups_hold_what_links_connect(spark):
+    data = near_data(seed=4, n=40)
+    df = spark.createDataFrame(data, ITEM)
+    bags = {r[0]: word_bag(r[2], r[3]) for r in data if r[0]}
+    bags = {k: v for k, v in bags.items() if v}
+    parent = {k: k for k in bags}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(bags), 2):
+        if similar(bags[a], bags[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    first = {k: min(x for x in bags if bags[x] == bags[k]) for k in bags}
+    linked = {k: sum(1 for x in set(first.values()) if x != first[k] and similar(bags[x], bags[k])) for k in bags}
+    made = near_duplicates.NearDuplicates(df)
+    assert rows(made.groups()) == sorted(((k, first[k], linked[k], find(k)) for k in bags), key=repr)
+    assert near_duplicates.NearDuplicates(df.limit(0)).groups().count() == 0
+
+
 # ---- 6 token ids
 
 NO_TOKENIZERS = not os.path.exists(os.path.join(token_ids.TOKENIZERS, token_ids.VOCABULARY))
