@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyard.functions.text import WORD
-from tallyard.runtime import shared_dir, skew_safe_join
+from tallyard.runtime import cut, drop_cut, shared_dir, skew_safe_join
 
-BUCKETS = 16
-#: Writers of one bucket's member rows, so that a key with very many copies is not written by one task.
-MEMBER_SALTS = 8
+#: Records that one bucket holds when the ledger is begun, and buckets at most.
+BUCKET_RECORDS, MAX_BUCKETS = 2_000_000, 4096
+#: Writers of one bucket's rows, so that a key with very many copies is not written by one task.
+SALTS = 8
 
 #: Entry separators of a labelled list in order of preference; an entry starts with a label and a colon.
 _SEPARATORS = ("[;|/]", ",", "\n")
-_LABEL = "[^;|/:,\n]{1,60}:"
+_LABEL = "[^;|/:,\n]+:"
 _BLANKS = r"[\x{9}\x{b}\x{c}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -55,76 +58,111 @@ def with_copy_key(df: DataFrame, fields: tuple[str, ...], name: str = "copy_key"
     return df.withColumns(step).withColumns(flat).withColumns(marks).withColumn(name, key).drop(*step, *flat, *marks)
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
 class CopyLedger:
     """Counts of records per canonical key, kept bucketed on disk and updated batch by batch.
 
-    entries: (bucket, copy_key, copies, first_id), one row a key; first_id is the smallest record id, the one
-    to keep. members: (bucket, copy_key, record_id). A batch is joined by a full outer join with the buckets
-    it touches only; the other buckets are not read. A record delivered again counts once: its (key, id) is
-    already a member. A record whose text changed counts under its new key as well. Null ids are left out.
-    Versions are written to a folder of the shared checkpoint folder, so a lost executor loses nothing.
+    entries: (copy_key, copies, first_id, bucket), one row a key; first_id is the smallest record id, the one to
+    keep. members: (copy_key, record_id, bucket). A batch is joined by a full outer join with the buckets it touches
+    only; the other buckets are not read. A record delivered again counts once: its (key, id) is already a member. A
+    record whose text changed counts under its new key as well. Null ids are left out.
+
+    The ledger is its folder: opening the folder again goes on where it ended. What a batch wrote counts from the
+    moment its state file appears, which is made once and never changed, so a batch that fails halfway leaves the
+    ledger as it was, and two writers cannot both make the same one. A batch with an id that was added before is
+    passed over. The number of buckets is chosen from the first batch's records and kept.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.root = root or f"{shared_dir(spark)}/copy-ledger-{uuid.uuid4().hex}"
-        self.version: dict[int, int] = {}
-        self.batches = 0
-
-    def _entries_at(self, buckets: list[int]) -> DataFrame | None:
-        by_version: dict[int, list[int]] = {}
+        self.buckets = buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def state(self) -> dict:
+        """The last complete state: its number, the bucket count, batch ids, where each bucket's entries and all members lie."""
+        at = self._path(f"{self.root}/state")
+        names = sorted(f.getPath().getName() for f in self._files.listStatus(at)) if self._files.exists(at) else []
+        done = [n for n in names if n.endswith(".json")]
+        if not done:
+            return {"number": 0, "buckets": self.buckets, "batches": [], "entries": {}, "members": []}
+        stream = self._files.open(self._path(f"{self.root}/state/{done[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict) -> None:
+        """Write a state under the next number: to a name of its own, then renamed to one that must not exist."""
+        target = self._path(f"{self.root}/state/{state['number']:09d}.json")
+        temporary = self._path(f"{self.root}/state/{uuid.uuid4().hex}.tmp")
+        stream = self._files.create(temporary, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        try:
+            if self._files.exists(target) or not self._files.rename(temporary, target):
+                raise FileExistsError(f"{target.toString()}: another batch was added meanwhile")
+        finally:
+            self._files.delete(temporary, False)
+
+    def _entries_at(self, state: dict, buckets: list[int]) -> DataFrame | None:
+        at: dict[str, list[int]] = {}
         for b in buckets:
-            if b in self.version:
-                by_version.setdefault(self.version[b], []).append(b)
-        if not by_version:
-            return None
-        current = F.lit(False)
-        for version, own in by_version.items():
-            current = current | ((F.col("version") == version) & F.col("bucket").isin(own))
-        layout = "copy_key string, copies bigint, first_id string, version int, bucket int"
-        return self.spark.read.schema(layout).parquet(f"{self.root}/entries").filter(current).drop("version")
+            if str(b) in state["entries"]:
+                at.setdefault(state["entries"][str(b)], []).append(b)
+        parts = [self.spark.read.schema("copy_key string, copies bigint, first_id string, bucket int").parquet(f"{self.root}/entries/{name}").filter(F.col("bucket").isin(own)) for name, own in at.items()]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _members_at(self, state: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        parts = [self.spark.read.schema("copy_key string, record_id string, bucket int").parquet(f"{self.root}/members/{name}") for name in state["members"]]
+        parts = [p if buckets is None else p.filter(F.col("bucket").isin(buckets)) for p in parts]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
     def entries(self) -> DataFrame:
         """The ledger as it is after the batches so far."""
-        found = self._entries_at(sorted(self.version))
+        state = self.state()
+        found = self._entries_at(state, sorted(int(b) for b in state["entries"]))
         return found if found is not None else self.spark.createDataFrame([], "copy_key string, copies bigint, first_id string, bucket int")
 
     def members(self) -> DataFrame:
         """All (copy_key, record_id, bucket) seen so far."""
-        if not self.batches:
-            return self.spark.createDataFrame([], "copy_key string, record_id string, bucket int")
-        return self.spark.read.schema("copy_key string, record_id string, batch int, bucket int").parquet(f"{self.root}/members").drop("batch")
-
-    def add(self, records: DataFrame, record_id: str, fields: tuple[str, ...]) -> None:
-        """Aggregate a batch and merge it into the matching buckets."""
+        found = self._members_at(self.state())
+        return found if found is not None else self.spark.createDataFrame([], "copy_key string, record_id string, bucket int")
+
+    def add(self, records: DataFrame, record_id: str, fields: tuple[str, ...], batch_id: str | None = None) -> bool:
+        """Aggregate a batch and merge it into the matching buckets; False if a batch of that id was added before."""
+        state = self.state()
+        name = batch_id or uuid.uuid4().hex
+        if name in state["batches"]:
+            return False
         named = records.select(F.col(record_id).cast("string").alias("record_id"), *fields).filter("record_id is not null")
-        batch = with_copy_key(named, fields).select("record_id", "copy_key")
-        batch = batch.distinct().withColumn("bucket", _bucket("copy_key"))
-        if self.batches:
-            batch = batch.join(self.members(), ["bucket", "copy_key", "record_id"], "left_anti")
-        salt = F.pmod(F.xxhash64("record_id"), F.lit(MEMBER_SALTS))
-        where = f"{self.root}/members/batch={self.batches}"
-        batch.repartition(F.col("bucket"), salt).write.partitionBy("bucket").parquet(where)
-        batch = self.spark.read.schema("copy_key string, record_id string, bucket int").parquet(where)
-        fresh = batch.groupBy("bucket", "copy_key").agg(F.count("*").alias("copies"), F.min("record_id").alias("first_id"))
-        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        old = self._entries_at(touched)
+        keyed = cut(with_copy_key(named, fields).select("record_id", "copy_key").distinct())
+        if not state["buckets"]:
+            state["buckets"] = min(MAX_BUCKETS, 1 + keyed.count() // BUCKET_RECORDS)
+        batch = keyed.withColumn("bucket", F.pmod(F.xxhash64("copy_key"), F.lit(state["buckets"])).cast("int"))
+        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())  # at most MAX_BUCKETS numbers
+        old = self._members_at(state, touched)
         if old is not None:
-            a, b = fresh.alias("a"), old.alias("b")
+            batch = batch.join(old, ["bucket", "copy_key", "record_id"], "left_anti")
+        written = f"{state['number']:09d}-{uuid.uuid4().hex}"
+        salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
+        batch.repartition(F.col("bucket"), salt("record_id")).write.partitionBy("bucket").parquet(f"{self.root}/members/{written}")
+        drop_cut(keyed)
+        added = self.spark.read.schema("copy_key string, record_id string, bucket int").parquet(f"{self.root}/members/{written}")
+        fresh = added.groupBy("bucket", "copy_key").agg(F.count("*").alias("copies"), F.min("record_id").alias("first_id"))
+        before = self._entries_at(state, touched)
+        if before is not None:
+            a, b = fresh.alias("a"), before.alias("b")
             fresh = a.join(b, ["bucket", "copy_key"], "full_outer").select(
                 "bucket",
                 "copy_key",
                 (F.coalesce("a.copies", F.lit(0)) + F.coalesce("b.copies", F.lit(0))).alias("copies"),
                 F.least("a.first_id", "b.first_id").alias("first_id"),
             )
-        fresh.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/entries/version={self.batches}")
-        for b in touched:
-            self.version[b] = self.batches
-        self.batches += 1
+        fresh.repartition(F.col("bucket"), salt("copy_key")).write.partitionBy("bucket").parquet(f"{self.root}/entries/{written}")
+        entries = state["entries"] | {str(b): written for b in touched}
+        self._commit({"number": state["number"] + 1, "buckets": state["buckets"], "batches": [*state["batches"], name], "entries": entries, "members": [*state["members"], written]})
+        return True
 
 
 def format_copies(items: DataFrame, record_id: str = "item_id", fields: tuple[str, ...] = ("given_info", "question"), batches: int = 2) -> CopyLedger:
@@ -132,7 +170,7 @@ def format_copies(items: DataFrame, record_id: str = "item_id", fields: tuple[st
     ledger = CopyLedger(items.sparkSession)
     slot = F.pmod(F.xxhash64(F.col(record_id).cast("string")), F.lit(batches))
     for i in range(batches):
-        ledger.add(items.filter(slot == i), record_id, fields)
+        ledger.add(items.filter(slot == i), record_id, fields, f"slot-{i}")
     return ledger
 
 

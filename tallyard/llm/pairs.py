@@ -17,6 +17,9 @@ from tallyard.runtime import cut, skew_safe_join
 # Finish reasons by which a provider says that it stopped at the output cap, lower-cased.
 CAP_REASONS = ("length", "max_tokens", "max_output_tokens", "model_length")
 
+# Fixed value: the failure that stands for a refusal by the provider's safety rules.
+SAFETY_REFUSAL = "response/safety_refusal"
+
 # Refusal templates; a star stands for any few words.
 REFUSALS = (
     "i cannot help with that",
@@ -60,7 +63,11 @@ REFUSALS = (
     "no label will be given by me",
     "no comment on this topic",
     "request declined",
-    "refused",
+    "request refused",
+    "i am not permitted to",
+    "i'm not permitted to",
+    "beyond what i am permitted to",
+    "beyond what i may",
     "this content was withheld",
     "has chosen not to respond",
     "it would be inappropriate for me to",
@@ -93,7 +100,7 @@ LANGUAGE_WORDS = {
     "it": "il lo la gli le un una e è in che di del della con senza per non sì si dopo più dati quindi gruppo effetto sarebbe",
     "nl": "de het een en is in van met zonder niet op voor dat die deze dus ja nee hoor klopt na wel hoger geen groep effect cijfers zou pad",
     "pl": "i w z na do nie tak jest bez po od że się to więc ma dane grupa wyższy niż nie nie ta ten grafie ścieżki efekt dla wynik",
-    "id": "yang dan di ke dari ini itu dengan tanpa untuk tidak ya adalah akan oleh karena pada lebih daripada kelompok setelah tersebut jalur efeknya",
+    "id": "yang dan di ke dari menjadi bahwa ini itu dengan tanpa untuk tidak ya adalah akan oleh karena pada lebih daripada kelompok setelah tersebut jalur efeknya",
     "sv": "och är att det en ett inte med utan för på som av ja nej därför efter gruppen",
     "da": "og er at det en et ikke med uden for på som af ja nej derfor efter gruppen",
     "tr": "ve bir bu için ile değil evet hayır olmadan göre daha sonra grup etkisi",
@@ -102,18 +109,23 @@ LANGUAGE_WORDS = {
     "fi": "ja on ei että se kyllä ilman jälkeen ryhmä vaikutus",
     "en": "the a an of to and is in that for with without on by not would be are it as at this from which was or no yes so than more only case i you we what there does have has if its can same will one any into but since both other me my do",
 }
+# Words of the lists above that English has too; they alone never tell a language.
+ENGLISH_TOO = frozenset("a an and as at con data den die dig do effect en for i in is me men met no of on op over pad pas per plus pour sans sin so son ten van was wel".split())
+#: Other words that speak for a language in a reply of more than SHORT_REPLY words.
+EVIDENCE, SHORT_REPLY = 2, 3
 _LANGUAGE_SETS = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
 
 SHINGLE = 3
 COPY_OF_REPLY = 0.75
-#: Times that a reply may say the question or the whole prompt and still count as a copy.
-MAX_REPEATS = 50
 COPY_OF_QUESTION = 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LABEL = re.compile(r"(?:final\s+answer|answer|label|decision)?\W*\b(?:yes|no)\b\W*", re.I)
 _OPENING = re.compile(r"\W*(?:yes|no)\b\s*(?:[,;:.!—–-]|$)", re.I)
 _STATED = re.compile(r"(?:final answer|the answer is|answer)\s*[:=]?\s*\W?(?:yes|no)\b", re.I)
+#: A final label after a finished sentence on the same line.
+_INLINE = re.compile(r"[.!?:;]\s+[*_\"'(]*(?:YES|NO)[*_\"').!]*\s*$")
+_REFUSED = re.compile(r"(?:^|[.!?]\s)\W*refused\W*$", re.I)
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"|(?<!\w)['‘][^'’]*['’](?!\w)")
 _TAG = re.compile(r"<(/?)(\w+)[^<>]*>")
 _ENDS = tuple(".!?…。！？．｡)]}\"'”’»`*_")
@@ -192,7 +204,7 @@ def copies_question(reply: list[str], question: list[str], given: list[str]) ->
     for drop in (0, 1):  # a leading word such as "Question:" is no addition
         r = reply[drop:] if drop == 0 or reply[0] in ("question", "prompt", "q", "item") else []
         times = -(-len(r) // len(question))
-        if not r or times > MAX_REPEATS * (1 + len(given) // len(question)):
+        if not r:
             continue
         asked = _lcs(question, r) / len(question)
         if asked < COPY_OF_QUESTION:
@@ -237,7 +249,8 @@ def foreign(text: str) -> bool:
     """Whether text, its quoted phrases and label lines aside, is in another language than English.
 
     So it is if over three in ten letters are not Latin, or if some other language's frequent words, together
-    with words that have letters beyond ASCII, outnumber the English ones.
+    with words that have letters beyond ASCII, outnumber the English ones. Words that English has too do not
+    suffice, and beyond a few words a single one does not either.
     """
     text = _QUOTED.sub(" ", text)
     if not text.isascii():
@@ -248,18 +261,27 @@ def foreign(text: str) -> bool:
     if "\n" in text:
         text = "\n".join(x for x in text.splitlines() if not _LABEL.fullmatch(x.strip()))
     scores = dict.fromkeys(_LANGUAGE_SETS, 0)
-    marked = 0
-    for w in _LETTERS.findall(text.lower()):
+    told: dict[str, set[str]] = {k: set() for k in _LANGUAGE_SETS}
+    marked, words = 0, _LETTERS.findall(text.lower())
+    for w in words:
         for language in _LANGUAGES_OF.get(w, ()):
             scores[language] += 1
+            if w not in ENGLISH_TOO:
+                told[language].add(w)
         marked += not w.isascii()
     english = scores.pop("en")
-    best = max(scores.values())
-    return best > english or (marked > 0 and best >= 1 and best + marked > english)
+    best, need = max(scores.values()), EVIDENCE if len(words) > SHORT_REPLY else 1
+    if best > english:
+        return any(scores[k] == best and told[k] and (len(told[k]) + marked >= need or best >= english + 3) for k in scores)
+    return marked > 0 and best >= 1 and best + marked > english
+
 
+def screen(raw: str | None, parsed: str | None = None, failure: str | None = None) -> tuple[str | None, str | None]:
+    """(defect, reply) as far as the reply alone tells; reply is its readable content if it may yet be a copy of its question.
 
-def screen(raw: str | None) -> tuple[str | None, str | None]:
-    """(defect, reply) as far as the reply alone tells; reply is its readable content if it may yet be a copy of its question."""
+    parsed is the label that the run read from it: with YES or NO it answers, whatever its form. failure is what the
+    run recorded: a provider's safety refusal makes a reply without an answer a refusal.
+    """
     if raw is None:
         return "empty", None
     if _LABEL.fullmatch(raw.strip()):
@@ -270,10 +292,10 @@ def screen(raw: str | None) -> tuple[str | None, str | None]:
         return "empty", None
     if broken:
         return "truncated", None
-    if _answers(content, decoded):
+    if (parsed or "").strip().upper() in ("YES", "NO") or _answers(content, decoded):
         return ("other_language" if foreign(body) else None), None
     end = body.rstrip()
-    if (isinstance(decoded, dict) and "refusal" in decoded) or refuses(_plain(body)):
+    if (failure or "").strip().lower() == SAFETY_REFUSAL or (isinstance(decoded, dict) and "refusal" in decoded) or refuses(_plain(body)) or _REFUSED.search(body):
         return "refusal", body
     if foreign(body):
         return "other_language", body
@@ -282,10 +304,10 @@ def screen(raw: str | None) -> tuple[str | None, str | None]:
     return None, body
 
 
-def defect(raw: str | None, finish: str | None, question: str | None, given: str | None) -> str | None:
+def defect(raw: str | None, finish: str | None, question: str | None, given: str | None, parsed: str | None = None, failure: str | None = None) -> str | None:
     """The defect of a reply, or None; of several the first of empty, truncated by the cap or a wrapper left open,
     copied_question, refusal, other_language, truncated in mid-sentence."""
-    found, reply = screen(raw)
+    found, reply = screen(raw, parsed, failure)
     if found != "empty" and (finish or "").strip().lower() in CAP_REASONS:
         return "truncated"
     if reply is not None and copies_question(_plain(reply), _plain(question or ""), _plain(given or "")):
@@ -309,13 +331,13 @@ def _answers(content: str, decoded: object) -> bool:
     lines = [x.strip() for x in content.splitlines() if x.strip()]
     if not lines:
         return False
-    return bool(_LABEL.fullmatch(lines[-1]) or _OPENING.match(lines[0]) or _STATED.search(content))
+    return bool(_LABEL.fullmatch(lines[-1]) or _INLINE.search(lines[-1]) or _OPENING.match(lines[0]) or _STATED.search(content))
 
 
 def _screen_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        done = [screen(x) for x in batch["raw_output"]]
-        yield batch.drop(columns="raw_output").assign(found=[d for d, _ in done], reply=[r for _, r in done])
+        done = [screen(*x) for x in zip(batch["raw_output"], batch["parsed_answer"], batch["failure_type"], strict=True)]
+        yield batch.drop(columns=["raw_output", "parsed_answer", "failure_type"]).assign(found=[d for d, _ in done], reply=[r for _, r in done])
 
 
 def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,10 +360,11 @@ def broken_pairs(attempts: DataFrame, calls: DataFrame, items: DataFrame) -> Dat
     Replies are screened where they are read; only replies that give no answer go on to be aligned with their
     item's question, and only keys are shuffled to meet the finish reasons. A null reply is empty. An attempt whose
     item is unknown cannot be a copy; one whose call is unknown has no finish reason. Of two deliveries of one
-    attempt the later one counts. Items: item_id, given_info, question; repeated items count once.
+    attempt the later one counts. parsed_answer and failure_type are used where the attempts have them. Items: item_id, given_info, question; repeated items count once.
     """
     kinds = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
-    read = attempts.filter("http_status = 200").select("call_id", "attempt_index", "item_id", "ingested_at", "raw_output")
+    recorded = [F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in ("parsed_answer", "failure_type")]
+    read = attempts.filter("http_status = 200").select("call_id", "attempt_index", "item_id", "ingested_at", "raw_output", *recorded)
     layout = ", ".join(f"{c} {kinds[c]}" for c in ("call_id", "attempt_index", "item_id", "ingested_at"))
     screened = read.mapInPandas(_screen_batches, f"{layout}, found string, reply string")
     later = F.struct(F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"), "found", "item_id", "reply")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -289,33 +289,45 @@ def find_personal_data(text: str | None, parts: NameParts) -> list[tuple[str, in
         if "dot" in low:
             normal.rewrite(_AT_WORD, lambda m: "@")
             normal.rewrite(_DOT, lambda m: ".")
-            normal.rewrite(_DOT_WORD, lambda m: "." if "@" in normal.text[max(0, m.start() - 60) : m.start()] else None)
+            normal.rewrite(_DOT_WORD, lambda m: "." if _in_domain(normal.text, m.start()) else None)
     normal.rewrite(_SPELLED, lambda m: "".join(_DIGIT_WORDS[w.lower()] for w in _SPELLED_WORD.findall(m.group())) + (" " if m.group()[-1].isspace() else ""))
-    seen, found = normal.text, []
-
-    def take(kind: str, begin: int, finish: int) -> None:
-        nonlocal seen
-        while finish > begin and seen[finish - 1].isspace():
-            finish -= 1
-        if begin < finish and "\x00" not in seen[begin:finish]:
-            found.append((kind, *normal.span(begin, finish)))
-            seen = seen[:begin] + "\x00" * (finish - begin) + seen[finish:]
-
-    for m in _EMAIL.finditer(seen):
-        take("email", m.start(), m.end())
-    for m in _ID.finditer(seen):
-        take("id_number", m.start(), m.end())
-    for m in _PHONE.finditer(seen):
-        if 7 <= sum(c.isdigit() for c in m.group()) <= 20:
-            take("phone", m.start(), m.end())
+    found: list[tuple[str, int, int]] = []
+
+    def take(kind: str, seen: str, spans: Iterable[tuple[int, int]]) -> str:
+        """seen with the spans hidden that do not touch what is taken already; one pass over the text."""
+        parts_, at, gone = [], 0, bytearray(len(seen))
+        for begin, finish in spans:
+            while finish > begin and seen[finish - 1].isspace():
+                finish -= 1
+            if begin < finish and "\x00" not in seen[begin:finish] and not any(gone[begin:finish]):
+                found.append((kind, *normal.span(begin, finish)))
+                gone[begin:finish] = b"\1" * (finish - begin)
+        if not any(gone):
+            return seen
+        for m in _TAKEN.finditer(bytes(gone)):
+            parts_ += [seen[at : m.start()], "\x00" * (m.end() - m.start())]
+            at = m.end()
+        return "".join(parts_) + seen[at:]
+
+    seen = take("email", normal.text, [m.span() for m in _EMAIL.finditer(normal.text)])
+    seen = take("id_number", seen, [m.span() for m in _ID.finditer(seen)])
+    seen = take("phone", seen, [m.span() for m in _PHONE.finditer(seen) if 7 <= sum(c.isdigit() for c in m.group()) <= 20])
     for pattern in _ADDRESSES:
-        for m in pattern.finditer(seen):
-            take("address", m.start(), _address_end(m))
-    for begin, finish in _names(seen, parts):
-        take("name", begin, finish)
+        seen = take("address", seen, [(m.start(), _address_end(m)) for m in pattern.finditer(seen)])
+    take("name", seen, _names(seen, parts))
     return sorted(found, key=lambda x: x[1])
 
 
+_TAKEN = re.compile(rb"\x01+")
+_DOMAIN = re.compile(r"\s*[\w-]+(?:[\s(\[{<]*(?:\.|\bdot\b)[\s)\]}>]*[\w-]+)*\s*", re.I)
+
+
+def _in_domain(text: str, at: int) -> bool:
+    """Whether nothing but the labels of a domain stands between the last @ and at."""
+    begin = text.rfind("@", 0, at)
+    return begin >= 0 and _DOMAIN.fullmatch(text, begin + 1, at) is not None
+
+
 def _address_end(m: re.Match) -> int:
     """The match's end without words that begin the next sentence."""
     text = m.group()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters up to which a text is encoded in one go.
-LEAF_CHARS = 16_384
+LEAF_CHARS = 1024
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 # Fixed value: the pattern that cuts text into the pieces inside which the vocabulary's merges apply.

@@ -130,6 +130,25 @@ def test_swap_repair_is_optimal(cells, size):
             assert cost(drawn | {a: drawn[a] - 1, b: drawn[b] + 1}) >= cost(drawn) - 1e-9
 
 
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 6000))
+@settings(max_examples=60, deadline=None)
+def test_hypergeometric_keeps_its_range(good, bad, draws):
+    draws = min(draws, good + bad)
+    assert max(0, draws - bad) <= samples._hypergeometric(random.Random(1), good, bad, draws) <= min(good, draws)
+
+
+def test_hypergeometric_is_exact_at_any_size():
+    import math
+
+    rng, n = random.Random(3), 4000
+    drawn = [samples._hypergeometric(rng, 1200, 801, 7) for _ in range(n)]  # 2,001 records in all
+    for k in range(8):
+        chance = math.comb(1200, k) * math.comb(801, 7 - k) / math.comb(2001, 7)
+        assert abs(drawn.count(k) / n - chance) < 4 * (chance * (1 - chance) / n) ** 0.5 + 1e-3
+    large = [samples._hypergeometric(rng, 3 * 10**9, 7 * 10**9, 10**6) for _ in range(200)]
+    assert abs(sum(large) / 200 - 300_000) < 150 and 300 < (sum((x - 300_000) ** 2 for x in large) / 200) ** 0.5 < 620
+
+
 # ---- 3 format copies
 
 LIST = "base rate: 0.35; site: old mill; treated rate: 0.58"
@@ -168,6 +187,34 @@ def test_format_copies(spark):
     assert format_copies.CopyLedger(spark).entries().count() == 0
 
 
+def test_long_labels_are_labels(spark):
+    label = "rate among the people of the northern valley who were treated early on"
+    df = spark.createDataFrame([("a", None, f"{label}: 0.4; site: mill", "q"), ("b", None, f"site: mill; {label}: 0.4", "q")], ITEM)
+    assert len(label) == 70 and rows(format_copies.copy_pairs(format_copies.format_copies(df))) == [("a", "b")]
+
+
+def test_ledger_lasts(spark, tmp_path, monkeypatch):
+    fields = ("given_info", "question")
+    one = spark.createDataFrame([("a", None, "x y", "q"), ("b", None, "X, y!", "q"), ("c", None, "z", "q")], ITEM)
+    two = spark.createDataFrame([("d", None, "x-y", "q"), ("a", None, "x y", "q"), ("e", None, "w", "q")], ITEM)
+    root = str(tmp_path / "ledger")
+    assert format_copies.CopyLedger(spark, root, buckets=7).add(one, "item_id", fields, "one")
+    again = format_copies.CopyLedger(spark, root)
+    assert again.state()["buckets"] == 7 and not again.add(two, "item_id", fields, "one")
+    monkeypatch.setattr(format_copies.CopyLedger, "_commit", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):  # after all rows are written
+        again.add(two, "item_id", fields, "two")
+    monkeypatch.undo()
+    opened = format_copies.CopyLedger(spark, root)
+    count = lambda ledger: {r["first_id"]: r["copies"] for r in ledger.entries().collect()}
+    assert count(opened) == {"a": 2, "c": 1} and opened.members().count() == 3
+    assert opened.add(two, "item_id", fields, "two")
+    assert count(format_copies.CopyLedger(spark, root)) == {"a": 3, "c": 1, "e": 1} and opened.members().count() == 5
+    stale = opened.state() | {"number": 1}
+    with pytest.raises(FileExistsError):
+        opened._commit(stale | {"number": 2})
+
+
 # ---- 4 splits
 
 RECORD = "source_index bigint, family string, story_id string, graph_id string, node string"
@@ -462,3 +509,43 @@ def test_personal_data_tables(spark):
     got = {(r["doc_id"], (r["text"] or "")[:9]) for r in personal_data.redacted(docs, names).collect()}
     assert got == {(1, "By [NAME]"), (2, ""), (3, ""), (4, "word word")}
     assert personal_data.personal_data(docs.limit(0), names.limit(0)).count() == 0
+
+
+# ---- limits that there are no more
+
+
+def test_a_question_said_any_number_of_times_is_copied():
+    question = "does a wet spring lead to more moss".split()
+    assert all(pairs.copies_question(question * n, question, []) for n in (1, 50, 51, 400))
+
+
+@pytest.mark.parametrize(
+    ("reply", "kind"),
+    [
+        ("Smokers die earlier.\nYES", None), ("Rates fall; patients die.\nNO", None), ("Group effect holds.\nNO", None), ("Data show sans doubt higher rates.\nYES", None), ("Tumors die. NO", None), ("El Nino raises rainfall. YES", None),
+        ("Patients refused treatment in both arms.", None), ("That is beyond what I am permitted to discuss.", "refusal"), ("[refused]", "refusal"), ("Nein, das ist nicht so.", "other_language"), ("The rate rises from 0.", "truncated"),
+    ],
+)
+def test_plain_english_is_no_defect(reply, kind):
+    assert pairs.defect(reply, "stop", "Is it so?", "") == kind
+
+
+def test_what_the_run_recorded_counts():
+    assert pairs.defect("Weighing both arms I side with the claim", "stop", "q", "") == "truncated"
+    assert pairs.defect("Weighing both arms I side with the claim", "stop", "q", "", "YES", None) is None
+    assert pairs.defect("Let us talk of the weather.", "stop", "q", "", "INVALID", "response/safety_refusal") == "refusal"
+
+
+def test_dots_far_behind_the_at_are_points():
+    far = "department of ".replace(" ", "-") * 5 + "north"
+    parts = personal_data.NameParts([], [])
+    assert [k for k, _, _ in personal_data.find_personal_data(f"ask anna at {far} dot example dot org today", parts)] == ["email"]
+    assert len(personal_data.find_personal_data("see a@b.org, then e@f.org " * 3000, parts)) == 6000
+
+
+@pytest.mark.skipif(NO_TOKENIZERS, reason="no vocabulary here")
+def test_ordinary_texts_cross_joins(vocabulary, monkeypatch):
+    joins, plain = [], token_ids.TreeEncoder.join
+    monkeypatch.setattr(token_ids.TreeEncoder, "join", lambda self, a, b: (joins.append(1), plain(self, a, b))[1])
+    text = "A plain log line, number 17, and what follows it. " * 60
+    assert token_ids.TreeEncoder(vocabulary).encode(text) and len(joins) >= 2
