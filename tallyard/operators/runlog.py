@@ -40,13 +40,20 @@ def unmatched_calls(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return joined.filter("e is null or a is null").select("call_id", F.when(F.col("e").isNull(), "actual_only").otherwise("expected_only").alias("side"))
 
 
-def start_gaps(attempts: DataFrame, seconds: float) -> DataFrame:
-    """Per run and provider: starts, and how many came within so many seconds of the one before. Unreadable times are left out."""
-    timed = attempts.withColumn("at", F.try_to_timestamp("timestamp_utc")).filter("at is not null")
-    order = Window.partitionBy("run_id", "provider").orderBy("at", "call_id", "attempt_index")
-    micros = F.unix_micros("at")
-    gap = timed.withColumn("gap", micros - F.lag(micros).over(order))
-    return gap.groupBy("run_id", "provider").agg(F.count("*").alias("starts"), F.count_if(F.col("gap") < int(seconds * 1_000_000)).alias("too_close"))
+def start_gaps(attempts: DataFrame, seconds: float, span: float = 600.0) -> DataFrame:
+    """Per run and provider: starts, and how many came within so many seconds of the one before. Unreadable times are left out.
+
+    Time is cut into spans; starts are put in order inside a span only, and each span's first start is held against the
+    last one of the span before that has any, over one row a span. So no task orders all starts of a provider.
+    """
+    micros, limit = F.unix_micros(F.try_to_timestamp("timestamp_utc")), int(seconds * 1_000_000)
+    timed = attempts.select("run_id", "provider", micros.alias("at")).filter("at is not null").withColumn("span", F.floor(F.col("at") / int(span * 1_000_000)))
+    inside = Window.partitionBy("run_id", "provider", "span").orderBy("at")
+    gaps = timed.withColumn("gap", F.col("at") - F.lag("at").over(inside))
+    spans = gaps.groupBy("run_id", "provider", "span").agg(F.count("*").alias("n"), F.count_if(F.col("gap") < limit).alias("close"), F.min("at").alias("first"), F.max("at").alias("last"))
+    border = F.col("first") - F.lag("last").over(Window.partitionBy("run_id", "provider").orderBy("span"))
+    joined = spans.withColumn("close", F.col("close") + F.coalesce((border < limit).cast("int"), F.lit(0)))
+    return joined.groupBy("run_id", "provider").agg(F.sum("n").alias("starts"), F.sum("close").alias("too_close"))
 
 
 def completeness(expected: DataFrame, done: DataFrame) -> DataFrame:

@@ -84,16 +84,21 @@ def test_sinks(spark, tmp_path):
     sinks.replace_only(df, path)
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.create_only(df, path)
-    assert sinks.write_once(b"x", path + ".f") and not sinks.write_once(b"x", path + ".f")
+    assert sinks.write_once(spark, b"x", path + ".f") and not sinks.write_once(spark, b"x", path + ".f")
     with pytest.raises(FileExistsError):
-        sinks.write_once(b"y", path + ".f")
+        sinks.write_once(spark, b"y", path + ".f")
+    sinks.write_once(spark, b"z", f"file://{path}.g")
+    with open(path + ".g", "rb") as f:
+        assert f.read() == b"z" and not [n for n in os.listdir(tmp_path) if n.endswith(".tmp")]
+    sinks.project(df.withColumn("gold", F.lit("YES")), ["a"], path + "p")
+    assert spark.read.json(path + "p").columns == ["a"]
     sinks.swap_in({"one": df}, path + "s")
     with pytest.raises(FileExistsError):
         sinks.swap_in({"one": df}, path + "s")
     with pytest.raises(Exception):  # noqa: B017
         sinks.swap_in({"one": df.select(F.raise_error(F.lit("no")).alias("a"))}, path + "s", overwrite=True)
     assert spark.read.json(path + "s/one").count() == 1 and len([n for n in os.listdir(tmp_path) if "staging" in n or ".old" in n]) == 0
-    names = [os.path.basename(sinks.append_session(path + "j", {"n": i})) for i in range(2)]
+    names = [os.path.basename(sinks.append_session(spark, path + "j", {"n": i})) for i in range(2)]
     assert names == ["session-0001.json", "session-0002.json"]
     assert sinks.canonical_json({"b": "é", "a": 1}) == '{\n  "a": 1,\n  "b": "é"\n}\n'.encode()
     counts = spark.createDataFrame([("b", 1), ("a", 1), ("c", 5)], "value string, n int")

@@ -200,6 +200,17 @@ def test_chains_and_utc(spark):
     assert [r[0] for r in times.select(runlog.utc_state(F.col("t"))).collect()] == ["ok", "wrong_offset", "unreadable", None]
 
 
+def test_start_gaps_across_spans(spark):
+    rng = random.Random(7)
+    at = sorted(rng.randrange(0, 40_000) for _ in range(300))
+    df = spark.createDataFrame([("r", "p" if i % 3 else None, f"2026-01-01T00:00:{x / 1000:06.3f}Z") for i, x in enumerate(at)] + [("r", "p", "soon")], "run_id string, provider string, timestamp_utc string")
+    want = []
+    for p in (None, "p"):
+        own = [x for i, x in enumerate(at) if ("p" if i % 3 else None) == p]
+        want.append(("r", p, len(own), sum(b - a < 150 for a, b in zip(own, own[1:]))))
+    assert rows(runlog.start_gaps(df, 0.15, span=0.5)) == rows(runlog.start_gaps(df, 0.15)) == sorted(want, key=repr)
+
+
 def test_scans(spark):
     df = spark.createDataFrame([(1, '{"a": {"API_key": 1}, "rung": 2}'), (2, '{"k": "token: x"}'), (3, "no json"), (4, None), (5, '{"k": [{"Gold_Scores": 1}]}')], "i int, j string")
     assert [r[0] for r in df.select(views.secret_keys(F.col("j"))).collect()] == ["api_key", "", "", "", ""]
