@@ -164,7 +164,9 @@ def leak_alignments(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_i
     pairs = cut(hits.join(small_side(seeds, count), "gram").select("doc_id", "eval_id").distinct())
     if share is not None:
         pairs = cut(pairs.unionByName(alike_pairs(read, tested, share, documents.count(), tested.count())).distinct())
-    both = read.join(pairs, "doc_id").join(small_side(tested, count), "eval_id").dropDuplicates(["doc_id", "eval_id", "doc_tokens"])
+    # few pairs go to the documents, so that texts are shuffled only where they are candidates, and repeats are told by their hash
+    both = read.join(small_side(pairs, pairs.count()), "doc_id").join(small_side(tested, count), "eval_id")
+    both = both.withColumn("_text", F.sha2(F.to_json("doc_tokens"), 256)).dropDuplicates(["doc_id", "eval_id", "_text"])
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     layout = _LAYOUT.format(doc=kinds["doc_id"], eval=kinds["eval_id"])
     return both.select("doc_id", "eval_id", "doc_tokens", "eval_tokens").mapInPandas(_score, layout)
