@@ -73,6 +73,18 @@ def read_items(spark: SparkSession, path: str, schema: str = VIEW_SCHEMA, closed
     return lines.select(F.from_json("json", typed, {"mode": "FAILFAST"}).alias("o")).select("o.*")
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(item_id, answer) of a gold file: objects with exactly these two keys, answers YES or NO, each item once; else an error."""
+    gold = read_items(spark, path, "item_id string, answer string")
+    wrong = gold.agg(F.count_if(F.col("item_id").isNull() | F.coalesce(~F.col("answer").isin("YES", "NO"), F.lit(True))).alias("w")).head()["w"]
+    if wrong:
+        raise ValueError(f"{path}: {wrong} gold records without an item or with another answer than YES or NO")
+    repeated = gold.groupBy("item_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"{path}: item {repeated[0]['item_id']} is there more than once")
+    return gold
+
+
 def without_fields(df: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
     """df without columns and struct fields of these names at any depth; scans then never read them."""
 

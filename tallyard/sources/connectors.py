@@ -71,11 +71,12 @@ def offline() -> EchoTransport:
     return EchoTransport()
 
 
-def call_models(requests: DataFrame, factory: str = "tallyard.sources.connectors:offline", attempts: int = 4, waits: tuple[float, ...] = (1.0, 2.0, 4.0), retryable: tuple[str, ...] = ("transport",), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def call_models(requests: DataFrame, factory: str = "tallyard.sources.connectors:offline", attempts: int = 4, waits: tuple[float, ...] = (1.0, 2.0, 4.0), retryable: tuple[str, ...] = ("transport", "transport/timeout", "provider/http_429", "provider/http_5xx"), sleep: Callable[[float], None] = time.sleep, jitter: Callable[[float], float] = float, on_attempt: Callable[[dict], None] | None = None) -> DataFrame:
     """Every attempt of every request (call_id, prompt, ...) as a row of RESPONSE, made where the requests are.
 
     A response whose error is retryable is tried again after the next wait, up to attempts times; every attempt
-    is a row. A transport that raises gives an attempt with status failure and its error's class name. Tasks that
+    is a row. jitter turns a wait into the one that is slept; on_attempt is told each attempt's row where it is made.
+    A transport that raises gives an attempt with status failure and its error's class name. Tasks that
     Spark runs again would repeat calls, so run with spark.task.maxFailures=1 and without speculation.
     """
     fields = [f.strip().split(" ")[0] for f in RESPONSE.split(",")]
@@ -91,9 +92,11 @@ def call_models(requests: DataFrame, factory: str = "tallyard.sources.connectors
                     except Exception as problem:  # noqa: BLE001
                         answer = {"status": "failure", "error": getattr(problem, "code", type(problem).__name__)}
                     rows.append({"call_id": request["call_id"], "attempt_index": i} | {f: answer.get(f) for f in fields[2:]})
+                    if on_attempt:
+                        on_attempt(rows[-1])
                     if answer.get("status") == "success" or answer.get("error") not in retryable or i + 1 == attempts:
                         break
-                    sleep(waits[min(i, len(waits) - 1)])
+                    sleep(jitter(waits[min(i, len(waits) - 1)]))
             yield pd.DataFrame(rows, columns=fields)
 
     return requests.mapInPandas(run, RESPONSE)

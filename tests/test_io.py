@@ -1,6 +1,9 @@
+import http.server
 import io
 import json
 import os
+import threading
+import time
 import zipfile
 
 import pandas as pd
@@ -167,3 +170,106 @@ def test_streaming(spark, tmp_path):
     assert [(w[0].minute, w[2]) for w in windows] == [(1, 2), (2, 2)]
     done = collect(attempts.call_outcomes(stream, "5 minutes"), "done")
     assert ("a", 3, "success") in done and ("c", 1, "success") in done
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    def do_POST(self):
+        sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if sent.get("wait"):
+            time.sleep(1.5)
+        body = sent["reply"].encode()
+        self.send_response(sent.get("status", 200))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_http_transport():
+    from tallyard.sources.http import HttpTransport
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    transport = HttpTransport(f"http://127.0.0.1:{server.server_port}/x", timeout=0.5, max_bytes=60)
+    send = lambda **x: transport.send({"call_id": "c", "payload": json.dumps(x)})
+    assert send(reply='{"id": 1}') == {"status": "success", "http_status": 200, "raw_output": '{"id": 1}'}
+    assert [send(reply=r)["error"] for r in ("[1]", "no", '{"id": "' + "x" * 60 + '"}')] == ["response/schema_failure"] * 3
+    assert send(reply='{"error": {"code": "model_not_found"}}', status=500) == {"status": "failure", "http_status": 500, "error": "configuration/nonexistent_model"}
+    assert [send(reply="", status=s)["error"] for s in (429, 503, 410)] == ["provider/http_429", "provider/http_5xx", "provider/http_error"]
+    assert send(reply="{}", wait=True)["error"] == "transport/timeout"
+    server.shutdown()
+    server.server_close()
+    assert send(reply="{}")["error"] == "transport"
+    with pytest.raises(ValueError):
+        HttpTransport("http://127.0.0.1", timeout=0)
+
+
+def test_responses_fail_closed(spark):
+    from tallyard.functions import responses
+
+    choice = lambda c, f="stop", **m: {"id": "r1", "model": "m", "choices": [{"finish_reason": f, "message": {"content": c} | m}], "usage": {"prompt_tokens": 3}}
+    bodies = [
+        choice("NO"), choice([{"type": "text", "text": "a"}, {"type": "image"}, {"text": "b"}]), choice([{"type": "image"}]), choice(["a"]), choice(None), choice("YES", "length"), choice("YES", "safety"), choice("YES", refusal="no"),
+        choice("[1]", refusal=""), {**choice("NO"), "usage": {"prompt_tokens": -1}}, {**choice("NO"), "usage": {"completion_tokens": True}}, {**choice("NO"), "id": 7, "usage": None}, [1], {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(98, "x"), (99, None)], "i int, b string")
+    got = {r["i"]: r["p"] for r in df.select("i", responses.read_response(F.col("b")).alias("p")).collect()}
+    schema, cap, refused = "response/schema_failure", "configuration/output_cap_truncation", "response/safety_refusal"
+    assert [(got[i]["text"], got[i]["failure"]) for i in range(14)] == [
+        ("NO", None), ("a\nb", None), (None, schema), (None, schema), (None, schema), (None, cap), (None, refused), (None, refused), ("[1]", None), (None, schema), (None, schema), ("NO", None), (None, schema), (None, schema),
+    ]
+    assert got[98]["failure"] == got[99]["failure"] == schema and got[0]["input_tokens"] == 3 and got[0]["output_tokens"] is None and got[11]["response_id"] is None
+
+
+def test_gold_file(spark, tmp_path):
+    path = str(tmp_path / "gold.json")
+    write = lambda rows: (tmp_path / "gold.json").write_text(json.dumps(rows))
+    write([{"item_id": "a", "answer": "YES"}, {"item_id": "b", "answer": "NO"}])
+    assert rows(collections.read_gold(spark, path)) == [("a", "YES"), ("b", "NO")]
+    for bad in ([{"item_id": "a", "answer": "yes"}], [{"item_id": "a", "answer": "YES"}] * 2, [{"item_id": None, "answer": "NO"}]):
+        write(bad)
+        with pytest.raises(ValueError):
+            collections.read_gold(spark, path)
+    write([{"item_id": "a", "answer": "YES", "rung": 1}])
+    with pytest.raises(Exception, match="unexpected keys"):
+        collections.read_gold(spark, path)
+
+
+def test_evidence(spark, tmp_path):
+    from tallyard.sources import evidence
+
+    good = {"provider": "p", "schema_version": 1, "smoke_kind": "synthetic_non_benchmark", "status": "success", "parsed_answer": "YES", "http_status": 200, "requested_model_id": "m", "reported_model_id": "m", "contains_raw_output": False, "input_tokens": 1, "output_tokens": 0, "latency_ms": 2.5, "retry_events": []}
+    changes = {"a": {}, "b": {}, "c": {"provider": "q"}, "d": {"http_status": 201}, "e": {"reported_model_id": "n", "latency_ms": -1}, "f": {"output_tokens": True}, "g": {"retry_events": None}, "h": {"contains_raw_output": True}, "i": {"latency_ms": -1}}
+    for name, change in changes.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(good | change))
+    (tmp_path / "z.json").write_text("[]")
+    roster = spark.createDataFrame([("p", "m"), ("o", "k")], "provider string, model_id string")
+    reports = evidence.read_evidence(spark, str(tmp_path), roster)
+    assert {r["path"][-6]: r["reason"] for r in reports.collect()} == {"a": None, "b": None, "c": "unknown_provider", "d": "wrong_http_status", "e": "wrong_reported_model_id", "f": "wrong_output_tokens", "g": "wrong_retry_events", "h": "wrong_contains_raw_output", "i": "wrong_latency_ms", "z": "unreadable"}
+    accepted = evidence.last_accepted(reports)
+    assert [r["path"][-6:] for r in accepted.collect()] == ["b.json"]
+    assert rows(evidence.missing_providers(roster, accepted)) == [("o",)]
+
+
+def test_prompts(spark, tmp_path):
+    from tallyard.sources import prompts
+
+    bundle = {"prompt_version": "prompt_causal_yesno_v1", "renderer_version": "renderer_v1", "system_instruction": " S ", "task_instruction": " ", "role_instructions": {"critic": "C"}, "output_instructions": {"critic_card": "O"}, "final_answer_instruction": "F"}
+    (tmp_path / "b.json").write_text(json.dumps(bundle))
+    assert prompts.read_bundle(spark, str(tmp_path / "b.json")) == bundle
+    for bad in (bundle | {"more": 1}, bundle | {"renderer_version": "2"}, bundle | {"role_instructions": {}}):
+        (tmp_path / "c.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            prompts.read_bundle(spark, str(tmp_path / "c.json"))
+    item = ("B", None, "Is it?")
+    data = [("a", "critic", "critic_card", True, ["x", "y"], *item), ("b", "judge", "critic_card", False, None, *item), ("c", "critic", "critic_card", False, ["x", " "], *item), ("d", "critic", "critic_card", False, [], "rung", "Answer: yes", "q"), ("e", "critic", "critic_card", False, None, *item)]
+    df = spark.createDataFrame(data, "call_id string, role string, output_schema string, final boolean, cards array<string>, background string, given_info string, question string")
+    got = {r["call_id"]: (r["prompt"], r["problem"]) for r in prompts.render_prompts(df, bundle).collect()}
+    middle = "CAUSAL QUESTION CONTEXT\nBACKGROUND\nB\n\nGIVEN INFORMATION\n\n\nQUESTION\nIs it?"
+    cards = "\n\n".join(f"--- BEGIN UNTRUSTED CARD {i} ---\n{c}\n--- END UNTRUSTED CARD {i} ---" for i, c in ((1, "x"), (2, "y")))
+    assert got["a"] == (f"S\n\nC\n\n{middle}\n\n{prompts.CARDS_HEAD}{cards}\n\nO\n\nF\n", None)
+    assert got["e"] == (f"S\n\nC\n\n{middle}\n\nO\n", None)
+    assert {k: p for k, (_, p) in got.items() if p} == {"b": "unknown_role_or_output", "c": "blank_card", "d": "leak"}
+    kinds = spark.createDataFrame([("A3_SINGLE_V1", "analyst"), ("C3_COUNCIL_V1", "analyst"), ("C5_COUNCIL_V1", "formal_numerical_critic"), ("C5_COUNCIL_V1", "adjudicator")], "c string, r string")
+    assert [r[0] for r in kinds.select(prompts.output_schema(F.col("c"), F.col("r"))).collect()] == ["single_answer", "analyst_card", "critic_card", "adjudicator_record"]
