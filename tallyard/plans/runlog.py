@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyard.functions import answers
+from tallyard.functions import answers, responses
 from tallyard.operators import calls, runlog
 from tallyard.plans.sql import WS_SQL
 from tallyard.runtime import load
@@ -128,6 +128,14 @@ def item_set_digest(spark, sf_dir):
     return runlog.member_digests(load(spark, sf_dir, "event_records"), "run_id", "item_id")
 
 
+def response_outcomes(spark, sf_dir):
+    """What the response readers make of each call's last response, by finish reason."""
+    message = F.struct(F.col("raw_output").alias("content"))
+    body = F.struct(F.array(F.struct("finish_reason", message.alias("message"))).alias("choices"), F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens")).alias("usage"))
+    read = load(spark, sf_dir, "logical_calls").select(responses.read_response(F.to_json(body)).alias("p"))
+    return read.groupBy("p.finish_reason", "p.failure").agg(F.count("*").alias("calls"), F.sum("p.input_tokens").alias("input_tokens"), F.sum(F.length("p.text")).alias("chars"))
+
+
 def _parsed():
     return ["p.answer", "p.failure", F.array_join("p.trace", ",").alias("trace")]
 
@@ -147,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_attempts, attempt_chain_check, expected_vs_actual, pacing_violations, timestamp_states, resume_items, session_batch, call_expansion, call_counts,
-        upstream_cards, render_cards, majority_vote, final_answers, retry_overhead, failure_grouping_sets, usage_totals, latency_stats, event_violations, usage_violations, attempt_ceilings, http_taxonomy,
+        upstream_cards, render_cards, majority_vote, final_answers, retry_overhead, failure_grouping_sets, usage_totals, latency_stats, event_violations, usage_violations, attempt_ceilings, http_taxonomy, response_outcomes,
         rate_windows, item_set_digest, parse_yesno, parse_structured,
     )
 }
@@ -257,6 +265,9 @@ ORACLES = {
     + """ SELECT http_status, CASE WHEN http_status IN (401, 403) THEN 'configuration/authentication' WHEN http_status = 404 THEN 'configuration/nonexistent_model' WHEN http_status = 402 THEN 'configuration/quota_exhaustion'
       WHEN http_status IN (400, 405, 409, 415, 422) THEN 'configuration/malformed_request' WHEN http_status IN (408, 504) THEN 'transport/timeout' WHEN http_status = 429 THEN 'provider/http_429'
       WHEN http_status BETWEEN 500 AND 599 THEN 'provider/http_5xx' ELSE 'provider/http_error' END AS failure_class, count(*) AS attempts FROM attempts WHERE http_status <> 200 GROUP BY 1, 2""",
+    "response_outcomes": """WITH r AS (SELECT nullif(finish_reason, '') AS finish_reason, raw_output, input_tokens, CASE WHEN coalesce(input_tokens < 0, FALSE) OR coalesce(output_tokens < 0, FALSE) THEN 'response/schema_failure'
+        WHEN finish_reason IN ('length', 'max_tokens') THEN 'configuration/output_cap_truncation' WHEN finish_reason IN ('content_filter', 'safety') THEN 'response/safety_refusal' WHEN raw_output IS NULL THEN 'response/schema_failure' END AS failure FROM logical_calls)
+      SELECT finish_reason, failure, count(*) AS calls, CAST(sum(input_tokens) FILTER (WHERE input_tokens >= 0) AS BIGINT) AS input_tokens, CAST(sum(length(raw_output)) FILTER (WHERE failure IS NULL) AS BIGINT) AS chars FROM r GROUP BY ALL""",
     "rate_windows": ATTEMPTS_SQL + f" SELECT epoch_us({_AT}) // 60000000 * 60000000 AS window_start, provider, count(*) AS starts, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM attempts WHERE {_AT} IS NOT NULL GROUP BY 1, 2",
     "item_set_digest": "SELECT run_id, count(DISTINCT item_id) AS members, sha256(string_agg(DISTINCT item_id, chr(10) ORDER BY item_id)) AS digest FROM event_records WHERE run_id IS NOT NULL AND item_id IS NOT NULL GROUP BY 1",
     # a reply is trimmed, one fence around it removed, then its last line that is not blank must be the label

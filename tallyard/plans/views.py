@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tallyard import sinks
 from tallyard.functions.text import collapse
 from tallyard.operators import allocation, audit, views
 from tallyard.plans.sql import KEYED, WS_SQL, norm
-from tallyard.runtime import load
+from tallyard.runtime import load, shared_dir
+from tallyard.sources import collections, prompts
 
 
 def stable_rank_order(spark, sf_dir):
@@ -43,6 +47,22 @@ def label_free_view(spark, sf_dir):
     return views.label_free(load(spark, sf_dir, "label_free_items"))
 
 
+def view_round_trip(spark, sf_dir):
+    """The label-free view as the sinks write it and the closed reader takes it up again, from the shared folder."""
+    path = f"{shared_dir(spark)}/view-{uuid.uuid4().hex}.jsonl"
+    sinks.project(label_free_view(spark, sf_dir), list(views.LABEL_FREE), path)
+    return collections.read_items(spark, path)
+
+
+_BUNDLE = {"system_instruction": "Answer by the item alone.", "task_instruction": "Weigh the evidence.", "role_instructions": {"analyst": "You analyse."}, "output_instructions": {"single_answer": "End with YES or NO."}, "final_answer_instruction": "Decide now."}
+
+
+def rendered_prompts(spark, sf_dir):
+    """(item_id, problem, prompt_hash): every item's prompt of a single analyst."""
+    steps = label_free_view(spark, sf_dir).withColumns({"role": F.lit("analyst"), "output_schema": prompts.output_schema(F.lit("A1_SINGLE_V1"), F.lit("analyst")), "final": F.lit(True), "cards": F.array().cast("array<string>")})
+    return prompts.render_prompts(steps, _BUNDLE, "item_id").select("item_id", "problem", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
 def repeated_items(spark, sf_dir):
     return views.repeated_ids(load(spark, sf_dir, "label_free_items"), "item_id")
 
@@ -96,7 +116,7 @@ def sealed_members(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        stable_rank_order, split_allocation, allocation_overlap, split_quota_check, split_overlap_check, label_free_view, repeated_items, view_checksum, opaque_ids,
+        stable_rank_order, split_allocation, allocation_overlap, split_quota_check, split_overlap_check, label_free_view, view_round_trip, rendered_prompts, repeated_items, view_checksum, opaque_ids,
         canary_per_stratum, closed_schema_violations, metric_key_scan, secret_key_scan, leakage_scan, placeholder_scan, sealed_members,
     )
 }
@@ -118,6 +138,11 @@ ORACLES = {
     + " "
     + " UNION ALL ".join(f"SELECT '{k}' AS key_name, count(*) FILTER (WHERE x > 1) AS shared FROM (SELECT count(DISTINCT split_name) AS x FROM dealt WHERE {k} IS NOT NULL GROUP BY {k})" for k in ("source_index", "question_id", "prompt_hash", "family")),
     "label_free_view": _VIEW,
+    "view_round_trip": _VIEW,
+    "rendered_prompts": f"""WITH v AS ({_VIEW}), p AS (SELECT item_id, 'Answer by the item alone.' || chr(10) || chr(10) || 'You analyse.' || chr(10) || chr(10) || 'Weigh the evidence.' || chr(10) || chr(10) || regexp_replace('CAUSAL QUESTION CONTEXT' || chr(10)
+        || 'BACKGROUND' || chr(10) || background || chr(10) || chr(10) || 'GIVEN INFORMATION' || chr(10) || given_info || chr(10) || chr(10) || 'QUESTION' || chr(10) || question, '\\s+$', '') || chr(10) || chr(10) || 'End with YES or NO.' || chr(10) || chr(10) || 'Decide now.' || chr(10) AS prompt FROM v),
+      q AS (SELECT *, CASE WHEN regexp_matches(prompt, '(?i)\\b(answer|groundtruth|query_type|graph_id|story_id|model_id|question_id|split_name|protected_family|source_index|prompt_hash)\\b\\s*[:=]') THEN 'leak' END AS problem FROM p)
+      SELECT item_id, problem, CASE WHEN problem IS NULL THEN sha256(prompt) END AS prompt_hash FROM q""",
     "repeated_items": "SELECT item_id, count(*) AS n FROM label_free_items GROUP BY 1 HAVING count(*) > 1",
     "view_checksum": f"WITH v AS ({_VIEW}) SELECT count(*) AS rows, CAST(CAST(sum(CAST(('0x' || substring(sha256('{{\"item_id\":\"' || item_id || '\"}}'), 1, 15)) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS checksum FROM v",
     "opaque_ids": KEYED + " SELECT source_index, substring(sha256('tallyard-view-v1:' || prompt_hash || ':' || source_index), 1, 24) AS opaque_id FROM keyed",
