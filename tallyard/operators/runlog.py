@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.text import blank
 from tallyard.operators.calls import PLAN
+from tallyard.operators.ranking import exact_quantiles
 from tallyard.runtime import ratio
 
 #: The role of each position of each method that an attempt may have: the plan's, and the boundary method's single one.
@@ -120,9 +121,11 @@ def usage_totals(calls: DataFrame, by: str = "config_id") -> DataFrame:
 def distribution(rows: DataFrame, by: str, measure: str) -> DataFrame:
     """Per group: n, mean, sample deviation, quartiles (interpolated) and range of a measure; nulls do not count."""
     m = F.col(measure)
-    per = rows.groupBy(by).agg(F.count(m).alias("n"), F.round(F.avg(m), 6).alias("mean"), F.round(F.stddev_samp(m), 6).alias("sd"), F.min(m).alias("low"), F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(m).alias("high"))
-    q = lambda i: F.round(F.col("q")[i], 6)
-    return per.select(by, "n", "mean", "sd", "low", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "high", (q(2) - q(0)).alias("iqr"))
+    per = rows.groupBy(by).agg(F.count(m).alias("n"), F.round(F.avg(m), 6).alias("mean"), F.round(F.stddev_samp(m), 6).alias("sd"), F.min(m).alias("low"), F.max(m).alias("high"))
+    three = exact_quantiles(rows, by, measure, (0.25, 0.5, 0.75)).withColumnRenamed(by, "_by")
+    joined = per.join(three, per[by].eqNullSafe(three["_by"]), "left")
+    q = lambda i: F.round(F.get("quantiles", F.lit(i)), 6)
+    return joined.select(by, "n", "mean", "sd", "low", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "high", (q(2) - q(0)).alias("iqr"))
 
 
 # Statuses that an attempt may have.

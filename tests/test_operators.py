@@ -147,6 +147,18 @@ def test_hashed_rank_is_exact(spark, monkeypatch):
     assert rows(ranking.hashed_rank(df.limit(0), ["g"], ["i"], 3, 0)) == []
 
 
+def test_exact_quantiles(spark):
+    rng = random.Random(11)
+    data = [("a", float(rng.randrange(40))) for _ in range(500)] + [("b", rng.random()) for _ in range(301)] + [(None, 2.0)] * 9 + [("one", -1.5), ("none", None), ("a", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r["g"]: r["quantiles"] for r in ranking.exact_quantiles(df, "g", "x", probs, pieces=8).collect()}
+    for g in ("a", "b", None, "one"):
+        own = [x for k, x in data if k == g and x is not None]
+        assert got[g] == pytest.approx(list(pd.Series(own).quantile(list(probs))))
+    assert got["none"] is None and ranking.exact_quantiles(df.limit(0), "g", "x", probs).count() == 0
+
+
 def items(spark, data):
     return audit.flat_items(spark.createDataFrame(data, "source_index bigint, question_id bigint, desc_id string, given_info string, question string, answer string, meta struct<query_type: string, rung: int, story_id: string, graph_id: string, model_id: string, groundtruth: string>"))
 
