@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -155,6 +155,10 @@ _INITIAL = re.compile(r"(?<![\w.'-])(?:[A-Za-z]\.[ -]?){1,3}\s?\Z")
 _MIDDLE = re.compile(r"(?:\s+[A-Za-z]\.?){1,2}\s+\Z")
 
 
+#: Words of which a task remembers whether they can be family names.
+MEMO_WORDS = 200_000
+
+
 class NameParts:
     """Given and family names as listed, and the endings that the listed ones share.
 
@@ -166,6 +170,7 @@ class NameParts:
         plain = lambda x: "".join(_FOLDED.setdefault(c, _fold(c)) for c in x).lower()
         self.given, self.family = frozenset(map(plain, given)), frozenset(map(plain, family))
         self.given_ends, self.family_ends = self._ends(self.given), self._ends(self.family)
+        self._told: dict[str, bool] = {}
 
     @staticmethod
     def _ends(parts: frozenset[str]) -> frozenset[str]:
@@ -185,8 +190,13 @@ class NameParts:
         return any(w[-n:] in ends for n in range(3, min(9, len(w) - 1)))
 
     def is_family(self, w: str) -> bool:
-        low = w.lower()
-        return low in self.family or (len(low) > 5 and self._ends_in(low, self.family_ends) and low not in _FUNCTION_WORDS)
+        known = self._told.get(w)
+        if known is None:
+            if len(self._told) >= MEMO_WORDS:
+                self._told.clear()
+            low = w.lower()
+            known = self._told[w] = low in self.family or (len(low) > 5 and self._ends_in(low, self.family_ends) and low not in _FUNCTION_WORDS)
+        return known
 
     def is_given(self, w: str) -> bool:
         low = w.lower()
@@ -290,19 +300,22 @@ def find_personal_data(text: str | None, parts: NameParts) -> list[tuple[str, in
             normal.rewrite(_AT_WORD, lambda m: "@")
             normal.rewrite(_DOT, lambda m: ".")
             normal.rewrite(_DOT_WORD, lambda m: "." if _in_domain(normal.text, m.start()) else None)
-    normal.rewrite(_SPELLED, lambda m: "".join(_DIGIT_WORDS[w.lower()] for w in _SPELLED_WORD.findall(m.group())) + (" " if m.group()[-1].isspace() else ""))
+    if any(w in low for w in _DIGIT_WORDS):
+        normal.rewrite(_SPELLED, lambda m: "".join(_DIGIT_WORDS[w.lower()] for w in _SPELLED_WORD.findall(m.group())) + (" " if m.group()[-1].isspace() else ""))
     found: list[tuple[str, int, int]] = []
 
-    def take(kind: str, seen: str, spans: Iterable[tuple[int, int]]) -> str:
+    def take(kind: str, seen: str, spans: list[tuple[int, int]]) -> str:
         """seen with the spans hidden that do not touch what is taken already; one pass over the text."""
-        parts_, at, gone = [], 0, bytearray(len(seen))
+        if not spans:
+            return seen
+        parts_, at, gone, before = [], 0, bytearray(len(seen)), len(found)
         for begin, finish in spans:
             while finish > begin and seen[finish - 1].isspace():
                 finish -= 1
-            if begin < finish and "\x00" not in seen[begin:finish] and not any(gone[begin:finish]):
+            if begin < finish and "\x00" not in seen[begin:finish] and gone.find(1, begin, finish) < 0:
                 found.append((kind, *normal.span(begin, finish)))
                 gone[begin:finish] = b"\1" * (finish - begin)
-        if not any(gone):
+        if len(found) == before:
             return seen
         for m in _TAKEN.finditer(bytes(gone)):
             parts_ += [seen[at : m.start()], "\x00" * (m.end() - m.start())]
