@@ -26,14 +26,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _opened(raw: Column) -> Column:
     """struct(text, trace): raw without outer white space and without one enclosing code fence, and which of the two it had."""
 
-    def inner(text: Column) -> Column:
-        lines = F.split(text, LINES)
+    def lined(text: Column, lines: Column) -> Column:
         fenced = F.startswith(text, F.lit("```")) & (F.size(lines) >= 2) & (_strip(F.element_at(lines, -1)) == "```")
         body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
-        done = F.array_compact(F.array(F.when(text != raw, TRIMMED), F.when(fenced, UNFENCED)))
-        return F.struct(F.when(fenced, body).otherwise(text).alias("text"), done.alias("trace"))
+        done = lambda x: F.array_compact(F.array(F.when(text != raw, TRIMMED), F.when(x, UNFENCED)))
+        return _let(fenced, lambda x: F.struct(F.when(x, body).otherwise(text).alias("text"), done(x).alias("trace")))
 
-    return _let(_strip(raw), inner)
+    return _let(_strip(raw), lambda text: _let(F.split(text, LINES), lambda lines: lined(text, lines)))
 
 
 def unfenced(raw: Column) -> Column:
@@ -51,10 +50,15 @@ def _nothing(trace: Column | None = None) -> Column:
 
 def _labelled(label: Column, failure: Column, trace: Column) -> Column:
     """The result for a label as written; failure is null where it may be read."""
-    plain = F.upper(_strip(label))
-    wrong = F.coalesce(failure, F.when(plain.isNull() | ~plain.isin(*LABELS), "invalid_label"))
-    cased = F.when(wrong.isNull() & (label != plain), F.array_append(trace, F.lit(RECASED))).otherwise(trace)
-    return _result(F.when(wrong.isNull(), plain).otherwise("INVALID"), wrong, cased)
+
+    def judged(plain: Column, wrong: Column) -> Column:
+        cased = F.when(wrong.isNull() & (label != plain), F.array_append(trace, F.lit(RECASED))).otherwise(trace)
+        return _result(F.when(wrong.isNull(), plain).otherwise("INVALID"), wrong, cased)
+
+    def told(plain: Column) -> Column:
+        return _let(F.coalesce(failure, F.when(plain.isNull() | ~plain.isin(*LABELS), "invalid_label")), lambda wrong: judged(plain, wrong))
+
+    return _let(F.upper(_strip(label)), told)
 
 
 def _empty(raw: Column) -> Column:
@@ -89,8 +93,7 @@ def parse_structured(raw: Column, field: str = "answer") -> Column:
     def read(text: Column, trace: Column) -> Column:
         # the parser passes over what follows a value; no text that goes on fits into both an array and an object
         whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
-        keys = F.json_object_keys(F.when(whole & F.startswith(text, F.lit("{")), text))
-        failure = F.when(~whole, "parse_failure").when(keys.isNull() | ~F.array_contains(keys, field), "schema_failure")
-        return _labelled(F.get_json_object(text, path), failure, trace)
+        failure = _let(whole, lambda w: F.when(~w, "parse_failure").otherwise(_let(F.json_object_keys(F.when(F.startswith(text, F.lit("{")), text)), lambda keys: F.when(keys.isNull() | ~F.array_contains(keys, field), "schema_failure"))))
+        return _let(F.get_json_object(text, path), lambda label: _labelled(label, failure, trace))
 
     return F.when(_empty(raw), _nothing()).otherwise(_let(_opened(raw), judged))
