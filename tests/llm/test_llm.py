@@ -325,6 +325,49 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, group, blocked,
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_variants_of_all_rounds_are_the_variants():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    scheme = near_duplicates._Scheme(Fraction("0.7"), 300)
+    tokens = [rng.integers(-(2**63), 2**63, n, np.int64) for n in (1, 2, 9, 75, 76, 200, 300)]
+    kind = np.searchsorted(scheme.lows, [len(x) for x in tokens], "right") - 1
+    made = lambda *rounds: list(zip(*[x.tolist() for x in near_duplicates._variants(scheme, 0, kind, np.zeros(len(kind), np.int64), tokens, *rounds)], strict=True))
+    whole = made()
+    for rounds in (1, 2, 7, 19, 400):
+        parts = [made(turn, rounds) for turn in range(rounds)]
+        assert sorted(itertools.chain(*parts)) == sorted(whole)
+        assert rounds == 1 or max(map(len, parts)) < len(whole) * 0.75
+    assert max(len(made(turn, 19)) for turn in range(19)) < len(whole) // 6
+
+
+def test_near_duplicates_in_rounds_keep_the_pairs_and_leave_no_shuffled_files(spark, monkeypatch):
+    def shuffled():
+        files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())
+        return {f.getName() for f in files if f.getName().startswith("shuffle_")}
+
+    seen = []
+
+    def watched(df, free_shuffles=False, real=near_duplicates.cut):
+        before = shuffled()
+        made = real(df, free_shuffles)
+        seen.append((df.columns, len(shuffled() - before)))
+        return made
+
+    for name, value in {"ROUND_ROWS": 1, "ROUND_BAG_ROWS": 40, "VERIFY_ROWS": 10, "VERIFY_SHARE": 1000, "cut": watched}.items():
+        monkeypatch.setattr(near_duplicates, name, value)
+    data = near_data(seed=6, n=40)
+    bags = {r[0]: word_bag(r[2], r[3]) for r in data if r[0]}
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(bags), 2) if bags[a] != bags[b] and similar(bags[a], bags[b]))
+    made = near_duplicates.NearDuplicates(spark.createDataFrame(data, ITEM))
+    ids = {r["bag_id"]: r["record_id"] for r in made.members.orderBy("record_id").collect()}
+    of = {i: [r["record_id"] for r in made.members.filter(F.col("bag_id") == i).collect()] for i in ids}
+    assert sorted({tuple(sorted(p)) for r in made.links.collect() for p in itertools.product(of[r["a"]], of[r["b"]])}) == want
+    assert sum(columns == ["a", "b"] for columns, _ in seen) > 5  # rounds, and their union
+    assert sum(columns == ["a", "b", "common"] for columns, _ in seen) > 1
+    assert all(left == 0 for _, left in seen)
+
+
 def test_near_groups_hold_what_links_connect(spark):
     data = near_data(seed=4, n=40)
     df = spark.createDataFrame(data, ITEM)
